@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing, token_counts
+from . import huffman, near_dedup, packing, token_counts
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(*huffman.write(table(spark, sf_dir, "documents")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_ids, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op4_token_ids, op6_near_dedup, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
