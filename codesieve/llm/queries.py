@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, near_dedup, packing, token_counts
+from . import decontaminate, huffman, near_dedup, packing, token_counts, toxicity
 from .shared import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(*huffman.write(table(spark, sf_dir, "documents")))
 
@@ -27,7 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_ids, op6_near_dedup, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_token_ids, op6_near_dedup, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
