@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, near_dedup, packing, token_counts, toxicity
+from . import decontaminate, huffman, lm, near_dedup, packing, token_counts, toxicity
 from .shared import table
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(*huffman.write(table(spark, sf_dir, "documents")))
 
@@ -36,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op4_token_ids, op6_near_dedup, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_language_model, op4_token_ids, op6_near_dedup, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,103 @@
+"""A sorted (key, value) table in shared files, looked up from tasks part by part in bounded memory."""
+
+from __future__ import annotations
+
+from collections import OrderedDict
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from . import shared
+
+PART_ROWS = 1 << 20
+#: Parts that a worker keeps; a larger table is read again for each batch.
+KEPT_BYTES = 220_000_000
+_FILES = pa.schema([("file", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
+
+
+def write(df: DataFrame, name: str, kind: str = "<f4") -> list[tuple]:
+    """Write ``df`` (key long, value) sorted by key; returns a (file, first key, last key, rows) for each million rows."""
+    folder = shared.new_folder(df.sparkSession, name)
+
+    def run(batches):
+        pid, keys, values, count, rows, k = TaskContext.get().partitionId(), [], [], 0, [], 0
+
+        def flush():
+            nonlocal keys, values, count, k
+            a, b = np.concatenate(keys), np.concatenate(values)
+            file = shared.put_file(folder, f"part-{pid:06d}-{k:05d}", a.astype("<i8").tobytes() + b.astype(kind).tobytes())
+            rows.append((file, int(a[0]), int(a[-1]), len(a)))
+            keys, values, count, k = [], [], 0, k + 1
+
+        for b in batches:
+            if b.num_rows:
+                keys.append(b.column(0).to_numpy())
+                values.append(b.column(1).to_numpy())
+                count += b.num_rows
+            if count >= PART_ROWS:
+                flush()
+        if count:
+            flush()
+        yield shared.batch_of(_FILES, dict(zip(_FILES.names, zip(*rows))) if rows else {c: [] for c in _FILES.names})
+
+    ordered = df.repartitionByRange("key").sortWithinPartitions("key")
+    files = ordered.mapInArrow(run, "file string, first long, last long, n long").collect()  # one row for each million
+    return sorted((tuple(r) for r in files), key=lambda r: r[1])
+
+
+class SortedTable:
+    def __init__(self, files: list[tuple], kind: str = "<f4"):
+        self.files, self.kind = files, kind
+        self.firsts = np.array([f[1] for f in files], np.int64)
+        self.kept: OrderedDict[str, tuple] = OrderedDict()
+        self.bytes = 0
+
+    def __reduce__(self):
+        return SortedTable, (self.files, self.kind)
+
+    def _part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        file, _, _, n = self.files[i]
+        if file in self.kept:
+            self.kept.move_to_end(file)
+            return self.kept[file]
+        data = shared.get_file(file)
+        part = np.frombuffer(data, "<i8", n), np.frombuffer(data, self.kind, n, 8 * n)
+        self.kept[file] = part
+        self.bytes += len(data)
+        while self.bytes > KEPT_BYTES and len(self.kept) > 1:
+            _, (a, b) = self.kept.popitem(last=False)
+            self.bytes -= a.nbytes + b.nbytes
+        return part
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found) of sorted keys."""
+        values, found = np.zeros(len(keys), self.kind), np.zeros(len(keys), bool)
+        if not len(keys) or not self.files:
+            return values, found
+        cuts = np.searchsorted(keys, self.firsts[1:], side="left")
+        for i, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)])):
+            if a == b:
+                continue
+            k, v = self._part(i)
+            at = np.searchsorted(k, keys[a:b])
+            at[at == len(k)] = 0
+            hit = k[at] == keys[a:b]
+            found[a:b] = hit
+            values[a:b] = np.where(hit, v[at], 0)
+        return values, found
+
+
+_TABLES: OrderedDict[str, SortedTable] = OrderedDict()
+
+
+def opened(table: SortedTable) -> SortedTable:
+    """This worker's copy of a table, with the parts it has read; the last two tables are kept."""
+    name = table.files[0][0] if table.files else ""
+    if name not in _TABLES:
+        _TABLES[name] = table
+        while len(_TABLES) > 2:
+            _TABLES.popitem(last=False)
+    _TABLES.move_to_end(name)
+    return _TABLES[name]
