@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, lm, near_dedup, packing, token_counts, toxicity
+from . import decontaminate, huffman, lm, near_dedup, packing, secret_scan, token_counts, toxicity
 from .shared import table
 
 
@@ -27,6 +27,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(*huffman.write(table(spark, sf_dir, "documents")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -40,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_language_model, op4_token_ids, op6_near_dedup, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_language_model, op4_token_ids, op5_secret_scan, op6_near_dedup, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
