@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, huffman, lm, near_dedup, packing, secret_scan, token_counts, topk, toxicity
+from . import decontaminate, html_extract, huffman, lm, near_dedup, packing, secret_scan, token_counts, topk, toxicity
 from .shared import table
 
 
@@ -35,6 +35,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_language_model, op4_token_ids, op5_secret_scan, op6_near_dedup, op8_packing, op9_top_k, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_language_model, op4_token_ids, op5_secret_scan, op6_near_dedup, op7_html, op8_packing, op9_top_k, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
