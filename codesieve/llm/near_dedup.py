@@ -176,3 +176,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     out = all_rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` with or without the ids, which are broadcast up to a checked count."""
+    small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: the smallest doc_id of each group stays, once."""
+    found = shared.staged(near_duplicates(docs, size, percent), "near")
+    out = _among(docs, found.filter(~F.col("kept")).select("doc_id").distinct(), "left_anti")
+    repeated = shared.staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        again = _among(out, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = _among(out, repeated, "left_anti").unionByName(again)
+    return out.select(*docs.columns)
