@@ -1 +1,19 @@
+"""Registered queries by subject; each module has QUERIES and ORACLE (DuckDB SQL)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def registered() -> tuple[dict, dict]:
+    from . import clones
+
+    queries, oracle = {}, {}
+    for m in (clones,):
+        queries |= m.QUERIES
+        oracle |= m.ORACLE
+    return queries, oracle
