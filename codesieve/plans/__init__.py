@@ -10,10 +10,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def registered() -> tuple[dict, dict]:
-    from . import clones
+    from . import advice, clones, cohesion, findings, rules, signal, trees
 
     queries, oracle = {}, {}
-    for m in (clones,):
+    for m in (clones, findings, signal, cohesion, advice, trees, rules):
         queries |= m.QUERIES
         oracle |= m.ORACLE
     return queries, oracle
