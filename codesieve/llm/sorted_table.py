@@ -13,12 +13,12 @@ from . import shared
 
 PART_ROWS = 1 << 20
 #: Parts that a worker keeps; a larger table is read again for each batch.
-KEPT_BYTES = 220_000_000
+KEPT_BYTES = 100_000_000
 _FILES = pa.schema([("file", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
 
 
-def write(df: DataFrame, name: str, kind: str = "<f4") -> list[tuple]:
-    """Write ``df`` (key long, value) sorted by key; returns a (file, first key, last key, rows) for each million rows."""
+def write(df: DataFrame, name: str, kind: str = "<f4", part_rows: int = PART_ROWS) -> list[tuple]:
+    """Write ``df`` (key long, value) sorted by key; returns a (file, first key, last key, rows) for each ``part_rows``."""
     folder = shared.new_folder(df.sparkSession, name)
 
     def run(batches):
@@ -32,12 +32,12 @@ def write(df: DataFrame, name: str, kind: str = "<f4") -> list[tuple]:
             keys, values, count, k = [], [], 0, k + 1
 
         for b in batches:
-            if b.num_rows:
-                keys.append(b.column(0).to_numpy())
-                values.append(b.column(1).to_numpy())
-                count += b.num_rows
-            if count >= PART_ROWS:
-                flush()
+            for a in range(0, b.num_rows, part_rows):
+                keys.append(b.column(0)[a : a + part_rows].to_numpy())
+                values.append(b.column(1)[a : a + part_rows].to_numpy())
+                count += len(keys[-1])
+                if count >= part_rows:
+                    flush()
         if count:
             flush()
         yield shared.batch_of(_FILES, dict(zip(_FILES.names, zip(*rows))) if rows else {c: [] for c in _FILES.names})

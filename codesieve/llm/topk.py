@@ -8,7 +8,7 @@ task takes one batch of queries and one shard: every query visits the shard's bl
 stops where the bound is below its k-th score so far (an equal bound may hold a smaller id). The shards'
 lists are merged per query.
 
-Scores are exact: products of float64 matrices while every sum stays below 2**53, else Python integers.
+Scores are exact: products of float64 matrices while every sum stays below 2**53, else Python integers; a score beyond 64 bits is an error.
 
 Cases: null vectors, null or non-finite components and null ids take no part; exact repeats of a row count
 once; rows that repeat an id with another vector are vectors of their own, and none of them is a candidate
