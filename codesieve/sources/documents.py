@@ -14,7 +14,7 @@ LOCATION = f"struct<physicalLocation:struct<artifactLocation:struct<uri:string>,
 RESULT = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{LOCATION}>,relatedLocations:array<{LOCATION}>,partialFingerprints:map<string,string>,properties:string,baselineState:string>"
 RULE = "struct<id:string,name:string,shortDescription:struct<text:string>>"
 RUN = f"struct<tool:struct<driver:struct<name:string,version:string,informationUri:string,rules:array<{RULE}>>>,results:array<{RESULT}>>"
-LOG = T._parse_datatype_string(f"struct<`$schema`:string,version:string,runs:array<{RUN}>>")
+LOG = f"`$schema` string, version string, runs array<{RUN}>"
 #: File names of the passes' logs.
 PASSES = {"token": "token.sarif.json", "ast": "ast.sarif.json", "refined": "refined.sarif.json"}
 
@@ -83,8 +83,8 @@ def parse_toml_manifest(text: str) -> list[dict]:
 
 
 def parse_json_manifest(texts: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Parsed manifests; a broken one has null fields and its text in ``_bad``."""
-    full = T._parse_datatype_string(schema.rstrip(">") + ",_bad:string>") if schema.startswith("struct<") else T._parse_datatype_string(f"struct<{schema},_bad:string>")
+    """Parsed manifests by a DDL schema; a broken one has null fields and its text in ``_bad``."""
+    full = f"{schema}, _bad string"
     return texts.select(F.from_json(column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("m")).select("m.*")
 
 
