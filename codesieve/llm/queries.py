@@ -55,5 +55,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_language_model, op4_token_ids, op5_secret_scan, op6_near_dedup, op7_html, op8_packing, op9_top_k, op10_token_counts)}
 
 
+def _secret_sql() -> str:
+    """Spans of all rules by splitting at the matches; positions are sums of lengths."""
+    found = []
+    for i, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        group = f"regexp_extract_all(text, '{p}', {r.group})"
+        found.append(f"SELECT doc_id, {i} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{p}', 0) AS m, {group} AS g, string_split_regex(text, '{p}') AS gaps FROM t WHERE regexp_matches(text, '{p}')")
+    n = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)::BIGINT"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({' UNION ALL '.join(found)}),
+      e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+      p AS (SELECT doc_id, k, kind, {n.format('gaps[1:i]')} + CASE WHEN i > 1 THEN {n.format('m[1:i - 1]')} ELSE 0 END AS a, length(m[i]) AS n FROM e WHERE length(g[i]) >= least),
+      s AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        coalesce(string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) FILTER (k < {secret_scan.BASE}), '') AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM p GROUP BY doc_id)
+      SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN s USING (doc_id)"""
+
+
+_TOP_K_SQL = """WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
+  SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secret_scan": _secret_sql(), "op9_top_k": _TOP_K_SQL}
