@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import shared, sorted_table
-from .shingles import _HASHES, KEPT_WORDS
+from .shingles import _HASHES
 
 DEPTH = 5
-BATCH_BYTES = 5_000_000
-MERGE_ROWS = 3_000_000
+BATCH_BYTES = 1_500_000
+MERGE_ROWS = 1_000_000
+KEPT_WORDS = 300_000
+KEPT_PAIRS = 1_500_000
 END = 10
 _COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 _NODES = pa.schema([("key", pa.int64()), ("value", pa.float32())])
@@ -54,13 +56,16 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """((context, byte) of every byte of the texts, each text's bytes). The nearest byte stands highest, the byte itself lowest."""
     pad = bytes([END]) * DEPTH
     raw = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8).astype(np.int64)
-    n = np.array([len(t) for t in texts], np.int64)
-    starts = DEPTH + np.cumsum(n + DEPTH) - (n + DEPTH)
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    key = np.zeros(len(at), np.int64)
+    everywhere = np.zeros(len(raw) - DEPTH, np.int64)
     for d in range(1, DEPTH + 1):
-        key = key << 8 | raw[at - d]
-    return key << 8 | raw[at], n
+        everywhere = everywhere << 8 | raw[DEPTH - d : len(raw) - d]
+    everywhere = everywhere << 8 | raw[DEPTH:]
+    n = np.array([len(t) for t in texts], np.int64)
+    inside = np.ones(len(everywhere), bool)  # not the padding behind each text
+    ends = np.cumsum(n + DEPTH) - DEPTH
+    for d in range(DEPTH):
+        inside[ends + d] = False
+    return everywhere[inside], n
 
 
 def _words(texts: list[str]) -> list[list[str]]:
@@ -250,17 +255,38 @@ def log_probability(table: sorted_table.SortedTable, keys: np.ndarray) -> np.nda
     return np.log10(np.where(one == 1, p, 1 - p)).sum(axis=1)
 
 
+class _Pairs:
+    """Log probabilities of pairs that a task has met; starts anew at KEPT_PAIRS."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0)
+
+    def log_probability(self, table: sorted_table.SortedTable, keys: np.ndarray) -> np.ndarray:
+        if len(self.keys) > KEPT_PAIRS:
+            self.__init__()
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        inner = at < len(self.keys)
+        hit[inner] = self.keys[at[inner]] == keys[inner]
+        out = np.empty(len(keys))
+        out[hit] = self.values[at[hit]]
+        out[~hit] = log_probability(table, keys[~hit])
+        self.keys = np.insert(self.keys, at[~hit], keys[~hit])
+        self.values = np.insert(self.values, at[~hit], out[~hit])
+        return out
+
+
 def scored(docs: DataFrame, nodes: sorted_table.SortedTable, words: sorted_table.SortedTable, n_tokens: int, vocabulary: int, ends: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row."""
     total = np.log10(n_tokens + 0.5 * (vocabulary + 1))
 
     def run(batches):
-        model, known = sorted_table.opened(nodes), sorted_table.opened(words)
+        model, known, known_pairs = sorted_table.opened(nodes), sorted_table.opened(words), _Pairs()
         for b in shared.slices(batches, "text", BATCH_BYTES):
             split = _words(shared.texts(b.column("text")))
             keys, size = _keys([_text_bytes(w) for w in split])
             distinct, at = np.unique(keys, return_inverse=True)
-            each = log_probability(model, distinct)[at]
+            each = known_pairs.log_probability(model, distinct)[at]
             score = np.add.reduceat(each, np.cumsum(size) - size)  # every text has its end
             n = np.array([len(w) for w in split], np.int64)
             hashes, at = np.unique(_word_keys(split), return_inverse=True)

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of characters other than space and the five ASCII controls 9 to 13.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-_SPACES = {9: 32, 10: 32, 11: 32, 12: 32, 13: 32}
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: On UTF-8 bytes: A-Z to lower case, the five controls to blanks; bytes of other characters stay.
+_FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -85,11 +85,8 @@ def texts(column: pa.Array) -> list[str]:
 
 def words(text: str) -> list[str]:
     """Words with A-Z lower-cased (other letters keep their case)."""
-    if text.isascii():
-        text = text.lower()
-    else:
-        text = text.translate(_LOWER)
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    folded = text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass")
+    return [w for w in folded.split(" ") if w]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
