@@ -4,12 +4,16 @@
    minima. Equal sets meet in one partial aggregate and are one node from then on.
 2. Each tree sorts the nodes by its own ``DEPTH`` minima. Candidates are the nearest predecessors whose
    common prefix reaches ``LEAST_PREFIX``, ``NEIGHBOURS`` of them at most: where many nodes share a
-   short prefix, the nearest ones share a longer one, so the depth adapts to the region, and the rest
-   of a dense region is reached by way of neighbours of neighbours and of the other trees' orders.
+   short prefix, the nearest ones share a longer one, so the depth adapts to the region.
 3. Candidates whose signatures agree on less than ``LEAST_ESTIMATE`` go (at 0.85 that is over four
    standard deviations away).
 4. Links are confirmed on the full sets. Each node's best candidate comes first; what lies within one
    component then needs no further check, and the rest is checked in a last turn.
+5. Buckets (one tree, one prefix of ``LEAST_PREFIX``) of more nodes than the neighbours reach, and of
+   several components, are compared whole: each node outside the bucket's largest component with each
+   node of another component, block by block. What may link is confirmed best first, in growing turns,
+   until each pair is confirmed, refuted or within one component. This costs the product of the nodes
+   outside and the bucket.
 
 Cases: null and empty texts have an empty set and link with nothing; rows that repeat a doc_id are
 documents of their own with one id; a null doc_id links with nothing and is kept; an empty table gives
@@ -21,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared
 from .components import components
@@ -31,6 +35,8 @@ TREES, DEPTH = 16, 8
 LEAST_PREFIX = 4
 NEIGHBOURS = 4
 LEAST_ESTIMATE = 0.7
+#: Rows of each side of a comparison within a crowded bucket, and pairs of a node and a component in the first turn.
+BLOCK, FIRST_TURN = 4096, 8
 #: Ids of candidate documents are broadcast up to this count (16 MB), beyond it the texts are shuffled.
 MOST_BROADCAST = 2_000_000
 _RNG = np.random.default_rng(20_240_601)
@@ -39,6 +45,8 @@ _B = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 _TREE = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MEMBERS = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
+_ESTIMATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -116,6 +124,52 @@ def _estimated(batches):
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)), pa.array(same[keep])], names=["a", "b", "estimate"])
 
 
+def _members(batches):
+    """A row for each tree and node; nodes with one prefix in a tree have one bucket."""
+    for b in batches:
+        sigs = b.column(2).to_pylist()
+        for t in range(TREES):
+            at = 4 * DEPTH * t
+            bucket = np.array([xxhash.xxh3_64_intdigest(s[at : at + 4 * LEAST_PREFIX], t) for s in sigs], np.uint64).view(np.int64)
+            yield shared.batch_of(_MEMBERS, {"bucket": bucket, "node": b.column(0), "root": b.column(1)})
+
+
+def _compared(t: pa.Table) -> pa.Table:
+    """Pairs of a block of nodes outside the largest component and a block of the bucket that may link."""
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(t.num_rows, -1)
+    node, root, main, outside = (t.column(c).to_numpy() for c in ("node", "root", "main", "outside"))
+    rows = np.flatnonzero(~outside)
+    others, n, r = sig[rows], node[rows], root[rows]
+    in_main = r == main[rows]
+    a, b, estimate = [], [], []
+    for i in np.flatnonzero(outside):
+        # two nodes outside meet twice
+        at = np.flatnonzero((r != root[i]) & (in_main | (n < node[i])))
+        same = (others[at] == sig[i]).mean(axis=1)
+        keep = same >= LEAST_ESTIMATE
+        b.append(n[at[keep]])
+        a.append(np.full(len(b[-1]), node[i]))
+        estimate.append(same[keep])
+    columns = {c: np.concatenate(x) if x else [] for c, x in (("a", a), ("b", b), ("estimate", estimate))}
+    return pa.Table.from_batches([shared.batch_of(_ESTIMATES, columns)])
+
+
+def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, estimate) from ``nodes`` (node, signature): pairs of different components that share a bucket which neighbours don't exhaust."""
+    placed = nodes.select("node", "signature").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "signature")
+    members = shared.staged(placed.mapInArrow(_members, "bucket long, node long, root long"), "members")
+    by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    largest = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("n")).filter((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("x.k")))
+    blocks = largest.select("bucket", F.col("x.root").alias("main"), F.ceil((F.col("n") - F.col("x.k")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+    crowd = shared.staged(members.join(shared.staged(blocks, "crowded"), "bucket"), "crowd")
+    spread = F.xxhash64("node")
+    outside = crowd.filter("root <> main").withColumn("i", F.pmod(spread, "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("outside", F.lit(True))
+    inside = crowd.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("j", F.pmod(spread, "columns")).withColumn("outside", F.lit(False))
+    columns = ["bucket", "i", "j", "node", "root", "main", "outside"]
+    both = outside.select(columns).unionByName(inside.select(columns)).join(nodes.select("node", "signature"), "node")
+    return both.groupBy("bucket", "i", "j").applyInArrow(_compared, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
 
@@ -141,6 +195,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id and text of the nodes of ``pairs``."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # a node's text is one whose set has the node's digest; of a repeated doc_id the texts with links are looked at
+    return shared.staged(_among(docs, need, "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose nodes lie in different components ra and rb."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    return pairs.filter("ra <> rb")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -152,25 +225,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
     likely = shared.staged(both.mapInArrow(_estimated, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "likely")
 
-    need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    small = need.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    wanted = docs.join(F.broadcast(need) if small else need, "doc_id", "left_semi")
-    # a node's text is one whose set has the node's digest; of a repeated doc_id the texts with links are looked at
-    texts = shared.staged(wanted.dropDuplicates(["doc_id", "text"]), "texts")
-
+    texts = _texts_of(docs, likely)
     best = F.max(F.struct("estimate", "b")).alias("x"), F.max(F.struct("estimate", "a")).alias("x")
     first = likely.groupBy("a").agg(best[0]).select("a", F.col("x.b").alias("b")).unionByName(likely.groupBy("b").agg(best[1]).select(F.col("x.a").alias("a"), "b")).distinct()
     links = shared.staged(confirmed(first, texts, size, percent).distinct(), "links")
     roots = components(links)
     rest = likely.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    rest = rest.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    rest = shared.staged(rest, "rest")
+    rest = shared.staged(_apart(rest, roots).select("a", "b"), "rest")
+    if not rest.isEmpty():
+        roots = _joined(roots, shared.staged(confirmed(rest, texts, size, percent).distinct(), "links"))
+
+    known = likely.select("a", "b").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = shared.staged(crowded(nodes, roots).join(known, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = shared.staged(confirmed(rest, texts, size, percent).distinct(), "links")
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        texts, turn = _texts_of(docs, rest), FIRST_TURN
+        while not rest.isEmpty():
+            order = Window.partitionBy("a", "rb").orderBy(F.desc("estimate"), "b")
+            ranked = shared.staged(_apart(rest.select("a", "b", "estimate"), roots).withColumn("turn", F.row_number().over(order)), "rest")
+            roots = _joined(roots, shared.staged(confirmed(ranked.filter(F.col("turn") <= turn), texts, size, percent).distinct(), "links"))
+            rest, turn = ranked.filter(F.col("turn") > turn), 8 * turn
 
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")

@@ -138,6 +138,19 @@ def test_near_duplicates(docs, rows, empty):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect() if r.doc_id is not None) == sorted(i for i in up if find(i) == i)
 
 
+def test_near_duplicates_of_a_star(spark):
+    rng = random.Random(5)
+    original = [f"w{i}" for i in range(180)]
+    rows = [(700, " ".join(original))]
+    for i in range(1000):
+        words = list(original)
+        for k, at in enumerate(rng.sample(range(3, 177, 3), 3)):
+            words[at] = f"x{i}y{k}"
+        rows.append((i if i < 700 else i + 1, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert len(got) == 1001 and {r.component_id for r in got} == {0}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1050)]
