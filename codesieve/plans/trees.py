@@ -34,7 +34,7 @@ def productions(spark, d):
 
 
 def tree_hash(spark, d):
-    return O.hashes(O.within_budget(_nodes(spark, d)))
+    return O.hashes(_nodes(spark, d))
 
 
 def smallest_cover(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import text as X, u64
 from codesieve.operators import advice, cohesion, findings, lexer, pairs, rules, signal, sketch, tokens, trees
+from codesieve.plans import trees as plans_trees
 from codesieve.session import wrapping
 from codesieve.sources import documents as sources
 
@@ -148,6 +149,21 @@ def test_trees(spark):
     assert [(r.target, r.cover) for r in trees.smallest_cover(t, c, 4).collect()] == [(1, 1)]
 
 
+def test_tree_hash_of_large_trees(spark):
+    """A tree beyond the node budget has a hash, the one that folding it in one piece gives."""
+    n = trees.MOST_NODES + 5
+    rows = [(t, "r", None, 0, 0, 1, None) for t in (1, 2, 3)] + [(t, f"k{i}", "r", i, 1, 2 + i % 3, "x" if t == 3 and i == 7 else "y") for t in (1, 2, 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "tree long, node string, parent string, ordinal long, depth int, kind int, leaf string")
+    h = u64.fnv_bytes(f"tree-1|1||{n}".encode())
+    for i in range(n):
+        h = u64.fnv_bytes(u64.fnv_bytes(f"tree-1|{2 + i % 3}|y|0".encode()).to_bytes(8, "little"), h)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(plans_trees, "_nodes", lambda spark, d: df)
+        got = {r.tree: r.hash for r in plans_trees.tree_hash(spark, "").collect()}
+    assert got[1] == got[2] == f"{h:016x}" and got[3] not in (None, got[1])
+    assert {r.tree for r in trees.over_budget(df).collect()} == {1, 2, 3}
+
+
 def test_predicates(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.is_test_attribute(F.lit("std::prelude::rust_2024::test"))) and not one(X.is_test_attribute(F.lit("core::prelude::test"))) and not one(X.is_test_attribute(F.lit("alloc::prelude::v1::test")))
