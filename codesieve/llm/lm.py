@@ -11,7 +11,7 @@ counts, then
   seen, i.e. the mixture of its own and all shorter contexts' estimates. Contexts not seen in training end
   the tree (they add no estimate).
 
-The probabilities lie in a sorted table in shared files. A task looks up the distinct (context, byte)
+The log odds of the probabilities lie in a sorted table in shared files. A task looks up the distinct (context, byte)
 pairs of a batch of texts, deepest context first. A pair never seen at any depth costs one bit a decision.
 The code length of a text in bits per byte is ``bits_per_byte``.
 
@@ -183,8 +183,13 @@ def _table_key(d: int, key: np.ndarray) -> np.ndarray:
     return np.int64(d) << 48 | key
 
 
+def log_odds(p: np.ndarray) -> np.ndarray:
+    """What the table holds of a probability: as a single it keeps both sides apart from zero."""
+    return np.log(p) - np.log1p(-p)
+
+
 def train(docs: DataFrame) -> tuple[sorted_table.SortedTable, sorted_table.SortedTable, int, int, int]:
-    """(probabilities, word counts, tokens, distinct tokens, texts) from ``docs`` (text)."""
+    """(log odds of a 1, word counts, tokens, distinct tokens, texts) from ``docs`` (text)."""
     spark = docs.sparkSession
     found = shared.staged(counts(docs), "lm-counts")
     sums = {r.kind: r.n for r in found.filter(F.col("kind") >= TOKENS).collect()}
@@ -225,10 +230,10 @@ def train(docs: DataFrame) -> tuple[sorted_table.SortedTable, sorted_table.Sorte
             final, done, rest = level.below(done[at], rest[at])
             parents = level.key
             out.append((_table_key(d, level.key), final))
-        return pa.Table.from_batches([shared.batch_of(_NODES, {"key": np.concatenate([k for k, _ in out]), "value": np.concatenate([p for _, p in out]).astype(np.float32)})])
+        return pa.Table.from_batches([shared.batch_of(_NODES, {"key": np.concatenate([k for k, _ in out]), "value": log_odds(np.concatenate([p for _, p in out])).astype(np.float32)})])
 
     deep = grams.groupBy("near").applyInArrow(downward, "key long, value float")
-    rows = [(int(k), float(p)) for keys, final, d in ((root.key, final0, 0), (one.key, final1, 1)) for k, p in zip(_table_key(d, keys), final)]
+    rows = [(int(k), float(p)) for keys, final, d in ((root.key, final0, 0), (one.key, final1, 1)) for k, p in zip(_table_key(d, keys), log_odds(final))]
     shallow = spark.createDataFrame(rows, "key long, value float")
     nodes = sorted_table.SortedTable(sorted_table.write(shallow.unionByName(deep), "lm-nodes"))
     return nodes, words, n_tokens, vocabulary, n_texts
@@ -240,19 +245,19 @@ def log_probability(table: sorted_table.SortedTable, keys: np.ndarray) -> np.nda
     bits = np.arange(8)
     node = (1 << bits)[None, :] | (byte[:, None] >> (8 - bits)[None, :])
     one = (byte[:, None] >> (7 - bits)[None, :]) & 1
-    p, left = np.full(node.size, 0.5), np.arange(node.size)
+    odds, left = np.zeros(node.size), np.arange(node.size)
     node, contexts = node.ravel(), np.repeat(context, 8)
     for d in range(DEPTH, -1, -1):
         want = _table_key(d, (contexts[left] >> (8 * (DEPTH - d))) << 8 | node[left])
         distinct, at = np.unique(want, return_inverse=True)
         value, found = table.lookup(distinct)
         value, found = value[at], found[at]
-        p[left[found]] = value[found]
+        odds[left[found]] = value[found]
         left = left[~found]
         if not len(left):
             break
-    p = p.reshape(-1, 8)
-    return np.log10(np.where(one == 1, p, 1 - p)).sum(axis=1)
+    odds = odds.reshape(-1, 8)
+    return -np.logaddexp(0, np.where(one == 1, -odds, odds)).sum(axis=1) / np.log(10)
 
 
 class _Pairs:

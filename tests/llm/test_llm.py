@@ -297,6 +297,15 @@ def test_context_tree_weighting_equals_brute_force(spark):
         assert math.isclose(lm.log_probability(nodes, distinct)[at].sum(), want, rel_tol=1e-4)
 
 
+def test_often_seen_contexts_keep_finite_scores(spark, monkeypatch):
+    keys, _ = lm._keys([b"aaaaaaaaaaaa\n"])
+    rows = [(lm.GRAM, int(keys[8]), 60_000_000), (lm.TOKENS, 0, 60_000_000), (lm.TEXTS, 0, 1)]
+    monkeypatch.setattr(lm, "counts", lambda docs: spark.createDataFrame(rows, "kind int, key long, n long"))
+    nodes, *_ = lm.train(spark.createDataFrame([("a",)], "text string"))
+    seen, other = lm.log_probability(nodes, np.array([keys[8]])), lm.log_probability(nodes, np.array([keys[8] ^ 64]))
+    assert -1e-6 < seen[0] < 0 and -30 < other[0] < -7
+
+
 def test_sorted_table_reads_parts_again(spark, monkeypatch):
     monkeypatch.setattr(sorted_table, "KEPT_BYTES", 3000)
     files = sorted_table.write(spark.range(0, 5000, 2).selectExpr("id as key", "cast(id * 3 as float) as value"), "t", part_rows=100)
