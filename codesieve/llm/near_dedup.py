@@ -5,8 +5,8 @@
 2. Each tree sorts the nodes by its own ``DEPTH`` minima. Candidates are the nearest predecessors whose
    common prefix reaches ``LEAST_PREFIX``, ``NEIGHBOURS`` of them at most: where many nodes share a
    short prefix, the nearest ones share a longer one, so the depth adapts to the region.
-3. Candidates whose signatures agree on less than ``LEAST_ESTIMATE`` go (at 0.85 that is over four
-   standard deviations away).
+3. Candidates whose signatures agree on less than ``least_estimate`` go, which is ``DEVIATIONS`` standard
+   deviations below the threshold.
 4. Links are confirmed on the full sets. Each node's best candidate comes first; what lies within one
    component then needs no further check, and the rest is checked in a last turn.
 5. Buckets (one tree, one prefix of ``LEAST_PREFIX``) of more nodes than the neighbours reach, and of
@@ -34,7 +34,7 @@ from .shingles import common, shingle_set
 TREES, DEPTH = 16, 8
 LEAST_PREFIX = 4
 NEIGHBOURS = 4
-LEAST_ESTIMATE = 0.7
+DEVIATIONS = 5
 #: Rows of each side of a comparison within a crowded bucket, and pairs of a node and a component in the first turn.
 BLOCK, FIRST_TURN = 4096, 8
 #: Ids of candidate documents are broadcast up to this count (16 MB), beyond it the texts are shuffled.
@@ -114,14 +114,23 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_neighbours, "a long, b long").filter("a <> b").distinct()
 
 
-def _estimated(batches):
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(b.num_rows, -1) for c in ("sa", "sb"))
-        same = (x == y).mean(axis=1)
-        keep = same >= LEAST_ESTIMATE
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)), pa.array(same[keep])], names=["a", "b", "estimate"])
+def least_estimate(percent: int) -> float:
+    """The share of equal minima below which a pair can't be expected to reach the threshold."""
+    p = percent / 100
+    return p - DEVIATIONS * (p * (1 - p) / (TREES * DEPTH)) ** 0.5
+
+
+def _estimated(least: float):
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(b.num_rows, -1) for c in ("sa", "sb"))
+            same = (x == y).mean(axis=1)
+            keep = same >= least
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)), pa.array(same[keep])], names=["a", "b", "estimate"])
+
+    return run
 
 
 def _members(batches):
@@ -134,27 +143,31 @@ def _members(batches):
             yield shared.batch_of(_MEMBERS, {"bucket": bucket, "node": b.column(0), "root": b.column(1)})
 
 
-def _compared(t: pa.Table) -> pa.Table:
+def _compared(least: float):
     """Pairs of a block of nodes outside the largest component and a block of the bucket that may link."""
-    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(t.num_rows, -1)
-    node, root, main, outside = (t.column(c).to_numpy() for c in ("node", "root", "main", "outside"))
-    rows = np.flatnonzero(~outside)
-    others, n, r = sig[rows], node[rows], root[rows]
-    in_main = r == main[rows]
-    a, b, estimate = [], [], []
-    for i in np.flatnonzero(outside):
-        # two nodes outside meet twice
-        at = np.flatnonzero((r != root[i]) & (in_main | (n < node[i])))
-        same = (others[at] == sig[i]).mean(axis=1)
-        keep = same >= LEAST_ESTIMATE
-        b.append(n[at[keep]])
-        a.append(np.full(len(b[-1]), node[i]))
-        estimate.append(same[keep])
-    columns = {c: np.concatenate(x) if x else [] for c, x in (("a", a), ("b", b), ("estimate", estimate))}
-    return pa.Table.from_batches([shared.batch_of(_ESTIMATES, columns)])
-
-
-def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+
+    def run(t: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(t.num_rows, -1)
+        node, root, main, outside = (t.column(c).to_numpy() for c in ("node", "root", "main", "outside"))
+        rows = np.flatnonzero(~outside)
+        others, n, r = sig[rows], node[rows], root[rows]
+        in_main = r == main[rows]
+        a, b, estimate = [], [], []
+        for i in np.flatnonzero(outside):
+            # two nodes outside meet twice
+            at = np.flatnonzero((r != root[i]) & (in_main | (n < node[i])))
+            same = (others[at] == sig[i]).mean(axis=1)
+            keep = same >= least
+            b.append(n[at[keep]])
+            a.append(np.full(len(b[-1]), node[i]))
+            estimate.append(same[keep])
+        columns = {c: np.concatenate(x) if x else [] for c, x in (("a", a), ("b", b), ("estimate", estimate))}
+        return pa.Table.from_batches([shared.batch_of(_ESTIMATES, columns)])
+
+    return run
+
+
+def crowded(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b, estimate) from ``nodes`` (node, signature): pairs of different components that share a bucket which neighbours don't exhaust."""
     placed = nodes.select("node", "signature").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "signature")
     members = shared.staged(placed.mapInArrow(_members, "bucket long, node long, root long"), "members")
@@ -167,7 +180,7 @@ def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     inside = crowd.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("j", F.pmod(spread, "columns")).withColumn("outside", F.lit(False))
     columns = ["bucket", "i", "j", "node", "root", "main", "outside"]
     both = outside.select(columns).unionByName(inside.select(columns)).join(nodes.select("node", "signature"), "node")
-    return both.groupBy("bucket", "i", "j").applyInArrow(_compared, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    return both.groupBy("bucket", "i", "j").applyInArrow(_compared(least), "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -220,10 +233,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     all_rows = shared.staged(signed(docs, size), "signed")
     grouped = all_rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x"))
     nodes = shared.staged(grouped.select("digest", F.col("x.doc_id").alias("node"), F.col("x.signature").alias("signature")), "nodes")
-    pairs = candidates(nodes)
+    pairs, least = candidates(nodes), least_estimate(percent)
     sig = nodes.select("node", "signature")
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
-    likely = shared.staged(both.mapInArrow(_estimated, "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "likely")
+    likely = shared.staged(both.mapInArrow(_estimated(least), "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "likely")
 
     texts = _texts_of(docs, likely)
     best = F.max(F.struct("estimate", "b")).alias("x"), F.max(F.struct("estimate", "a")).alias("x")
@@ -236,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         roots = _joined(roots, shared.staged(confirmed(rest, texts, size, percent).distinct(), "links"))
 
     known = likely.select("a", "b").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = shared.staged(crowded(nodes, roots).join(known, ["a", "b"], "left_anti"), "rest")
+    rest = shared.staged(crowded(nodes, roots, least).join(known, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         texts, turn = _texts_of(docs, rest), FIRST_TURN
         while not rest.isEmpty():

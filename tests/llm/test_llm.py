@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from codesieve.llm import components, decontaminate, html_extract, huffman, lm, near_dedup, packing, secret_scan, shared, sorted_table, token_counts, tokens, topk, toxicity
+from codesieve.llm.shingles import common, shingle_set
 
 SCHEMA = "doc_id long, text string, lang string, source string, ids string, score double"
 WORDS = "the of and in to a is that it was for on are as with his they at be this from have or by one had not but what all were".split()
@@ -151,6 +152,19 @@ def test_near_duplicates_of_a_star(spark):
     assert len(got) == 1001 and {r.component_id for r in got} == {0}
 
 
+def test_pairs_at_the_threshold_pass_the_estimate(spark):
+    """At 0.80 a pair may agree on less than 0.7 of the minima."""
+    for k in range(5000):
+        texts = [" ".join([f"{k}w{i}" for i in range(82)] + [f"{k}{c}{i}" for i in range(10)]) for c in "xy"]
+        x, y = (shingle_set(t, 3) for t in texts)
+        sx, sy = (near_dedup.signature(s).reshape(near_dedup.TREES, -1) for s in (x, y))
+        if (sx == sy).mean() < 0.69 and (sx == sy)[:, : near_dedup.LEAST_PREFIX].all(axis=1).any():
+            break
+    assert 100 * common(x, y) >= 80 * (len(x) + len(y) - common(x, y))
+    got = near_dedup.near_duplicates(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string"), 3, 80).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1050)]
