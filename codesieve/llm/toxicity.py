@@ -231,9 +231,9 @@ def _true_stems(rows: DataFrame, stems: dict[str, int]) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Lexicon:
     """Lexicon and curve from at most ``most_rows`` labelled rows."""
     rows = _training(docs, labels, most_rows).mapInArrow(_sketched, "text string, toxic int, m0 long, m1 long, m2 long")
-    for m in ("m0", "m1", "m2"):  # one of near copies, of toxic and clean ones each
-        rows = rows.dropDuplicates([m, "toxic"])
-    rows = shared.staged(rows.select("text", "toxic"), "toxic-training")
+    # one of near copies, of toxic and clean ones each: rows whose three minima all agree
+    rows = rows.groupBy("m0", "m1", "m2", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("x.text", "toxic")
+    rows = shared.staged(rows, "toxic-training")
     totals = dict(tuple(r) for r in rows.groupBy("toxic").count().collect())
     toxic, clean_rows = totals.get(1, 0), totals.get(0, 0)
     weights = {fold(s): PRIOR for s in SEEDS}

@@ -245,6 +245,19 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.scored(empty, learnt).count() == 0
 
 
+def test_unlike_training_rows_stay(spark, monkeypatch):
+    """Rows that share a shingle and little else aren't near copies."""
+    texts = {i: "one common phrase " + " ".join(f"w{i}x{k}" for k in range(2)) for i in range(200)}
+    texts[200] = texts[0]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "0 AS toxic")
+    want = len({t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 3 != 1})
+    rows, staged = [], shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, name: rows.append(df.count()) or staged(df, name))
+    toxicity.learn(docs, labels)
+    assert 0.9 * want <= rows[0] <= want
+
+
 def test_language_model(spark, docs, rows, empty):
     got = lm.language_model_scores(docs).collect()
     train = [x for x in rows if x[0] is None or zlib.crc32(str(x[0]).encode()) % 5 != 1]
