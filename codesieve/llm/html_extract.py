@@ -160,7 +160,7 @@ def parse(page: str) -> list[Node]:
         if m["attrs"]:
             for a in _ATTR.finditer(m["attrs"]):
                 names += [w.lower() for w in _HUMP.split(a[2] or a[3] or a[4] or "") if w]
-        n = Node(tag, stack[-1], tuple(names[:12]))
+        n = Node(tag, stack[-1], tuple(names))
         stack[-1].children.append(n)
         nodes.append(n)
         stack.append(n)

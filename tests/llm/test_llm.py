@@ -395,6 +395,12 @@ def test_top_k(spark, scale):
     assert topk.top_k(df.limit(0), df.vec_id % 100 == 0).count() == 0
 
 
+def test_html_reads_all_names():
+    words = [f"u{chr(97 + i)}" for i in range(14)] + ["sidebar"]
+    nodes = html_extract.parse(f'<html><body><div class="{" ".join(words)}">Text.</div></body></html>')
+    assert any("sidebar" in n.names for n in nodes)
+
+
 def test_html(spark):
     model = html_extract.train(html_extract.labelled_pages(250))
     page = '<html><head><title>T</title><script>var a="</p><article>";</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav><div class="cookie-notice"><p>We use cookies.</p></div><article><h1>A &amp; B</h1><p>One  two\n three, <b>fo</b>ur.<p>Five<br>six&nbsp;seven.</article><div id="comments"><h3>Comments</h3><div class="comment"><p>bob</p><p>Nice text, thanks.</p></div></div><form><label>Name</label><input></form><footer>&copy; site</footer>'
