@@ -57,13 +57,17 @@ def cohesion_edges(methods: DataFrame, key: str = "type") -> DataFrame:
     return shared.unionByName(called).filter("a <> b").distinct()
 
 
-def lcom4(methods: DataFrame, key: str = "type", rounds: int = 40) -> DataFrame:
-    """Connected components of each type's methods: least labels spread along edges, with shortcuts, until nothing changes."""
+def lcom4(methods: DataFrame, key: str = "type", rounds: int | None = None) -> DataFrame:
+    """Connected components of each type's methods: least labels spread along edges, with shortcuts, until nothing changes; an error if ``rounds`` end before."""
     edges = cohesion_edges(methods, key)
     both = edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     labels = methods.select(key, F.col("method").alias("a"), F.col("method").alias("label")).distinct()
-    before = None
-    for _ in range(rounds):
+    before, turn = None, 0
+    while True:
+        if turn == rounds:
+            both.unpersist()
+            raise RuntimeError(f"labels still change after {rounds} rounds")
+        turn += 1
         near = both.join(labels.select(key, F.col("a").alias("b"), "label"), [key, "b"]).groupBy(key, "a").agg(F.min("label").alias("m"))
         labels = labels.join(near, [key, "a"], "left").select(key, "a", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = labels.select(key, F.col("a").alias("label"), F.col("label").alias("up"))

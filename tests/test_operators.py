@@ -149,6 +149,14 @@ def test_trees(spark):
     assert [(r.target, r.cover) for r in trees.smallest_cover(t, c, 4).collect()] == [(1, 1)]
 
 
+def test_lcom4_says_when_rounds_end(spark):
+    rows = [("a", i, f"m{i}", [f"f{i}", f"f{i + 1}"], []) for i in range(30)]
+    df = spark.createDataFrame(rows, "type string, method long, name string, fields array<string>, calls array<string>")
+    assert [r.lcom4 for r in cohesion.lcom4(df).collect()] == [1]
+    with pytest.raises(RuntimeError):
+        cohesion.lcom4(df, rounds=1)
+
+
 def test_tree_hash_of_large_trees(spark):
     """A tree beyond the node budget has a hash, the one that folding it in one piece gives."""
     n = trees.MOST_NODES + 5
