@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,10 @@ _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in ra
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; there is no other that all can be known to see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = getattr(spark, "_stage_root", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="stages-")
-            spark._stage_root = root
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -44,6 +42,10 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    return df.mapInArrow(releasing(run), schema)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a stage folder that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -72,6 +74,22 @@ def put_file(uri: str, name: str, data: bytes) -> str:
     return f"{uri}/{name}"
 
 
+@contextmanager
+def written(uri: str):
+    """An open file to write in a folder of the shared one; no other attempt may write under this name."""
+    store, path = open_store(uri)
+    store.create_dir(path.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(path) as out:
+        yield out
+
+
+@contextmanager
+def opened(uri: str):
+    store, path = open_store(uri)
+    with store.open_input_file(path) as f:
+        yield f
+
+
 def get_file(uri: str) -> bytes:
     store, path = open_store(uri)
     with store.open_input_file(path) as f:
@@ -83,10 +101,50 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def folded(text: str) -> bytes:
+    """UTF-8 bytes with A-Z lower-cased (other letters keep their case) and the five controls as blanks."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD)
+
+
 def words(text: str) -> list[str]:
-    """Words with A-Z lower-cased (other letters keep their case)."""
-    folded = text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("utf-8", "surrogatepass")
-    return [w for w in folded.split(" ") if w]
+    """Words with A-Z lower-cased."""
+    return [w for w in folded(text).decode("utf-8", "surrogatepass").split(" ") if w]
+
+
+#: One entry: what this worker keeps from task to task.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """This worker's object of a name, made anew if the last one asked for had another name.
+
+    Workers live on from stage to stage; so only one operator's table takes memory at a time.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Give freed memory back to the system, since an idle worker's memory counts as well."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from codesieve.llm import components, decontaminate, html_extract, huffman, lm, near_dedup, packing, secret_scan, shared, sorted_table, token_counts, tokens, topk, toxicity
-from codesieve.llm.shingles import common, shingle_set
+from codesieve.llm import components, decontaminate, html_extract, huffman, lm, near_dedup, packing, secret_scan, shared, token_counts, tokens, topk, toxicity
+from codesieve.llm.shingles import common, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, ids string, score double"
 WORDS = "the of and in to a is that it was for on are as with his they at be this from have or by one had not but what all were".split()
@@ -272,10 +273,16 @@ def test_language_model(spark, docs, rows, empty):
     assert lm.language_model_scores(empty).count() == 0
 
 
-def test_context_tree_weighting_equals_brute_force(spark):
-    texts = ["abab", "abba", "", "b"]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    nodes, *_ = lm.train(d)
+@pytest.mark.parametrize("small", [False, True])
+def test_context_tree_weighting_equals_brute_force(spark, monkeypatch, small):
+    if small:  # several chunks, and groups that go on from part to part
+        monkeypatch.setattr(lm, "CHUNK_BYTES", 10)
+        monkeypatch.setattr(lm, "BATCH_BYTES", 5)
+        monkeypatch.setattr(lm, "GROUP_ROWS", 3)
+    texts, probes = ["abab", "abba", "", "b", "é ab", "ab é"], ["abab", "ba", "xyz", "abé"]
+    rows = [(i, t, i < len(texts)) for i, t in enumerate(texts + probes)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, training boolean").repartition(2, "doc_id")
+    scores = {r.doc_id: r for r in lm.language_model_scores(d, F.col("training")).collect()}
     data = [b"\n" * lm.DEPTH + t.encode() + b"\n" for t in texts]
     counts = collections.defaultdict(lambda: [0, 0])
     for t in data:
@@ -309,35 +316,58 @@ def test_context_tree_weighting_equals_brute_force(spark):
             done, rest = done + rest * own * kt, rest * (1 - own)
         return last
 
-    for text in ("abab", "ba", "xyz"):
+    for i, text in enumerate(probes, len(texts)):
         t = b"\n" * lm.DEPTH + text.encode() + b"\n"
         want = 0.0
-        for i in range(lm.DEPTH, len(t)):
+        for k in range(lm.DEPTH, len(t)):
             node = 1
             for bit in range(7, -1, -1):
-                one = t[i] >> bit & 1
-                p = p_one(t[i - lm.DEPTH : i], node)
+                one = t[k] >> bit & 1
+                p = p_one(t[k - lm.DEPTH : k], node)
                 want += math.log10(p if one else 1 - p)
                 node = node * 2 + one
-        keys, _ = lm._keys([text.encode() + b"\n"])
-        distinct, at = np.unique(keys, return_inverse=True)
-        assert math.isclose(lm.log_probability(nodes, distinct)[at].sum(), want, rel_tol=1e-4)
-
-
-def test_often_seen_contexts_keep_finite_scores(spark, monkeypatch):
-    keys, _ = lm._keys([b"aaaaaaaaaaaa\n"])
-    rows = [(lm.GRAM, int(keys[8]), 60_000_000), (lm.TOKENS, 0, 60_000_000), (lm.TEXTS, 0, 1)]
-    monkeypatch.setattr(lm, "counts", lambda docs: spark.createDataFrame(rows, "kind int, key long, n long"))
-    nodes, *_ = lm.train(spark.createDataFrame([("a",)], "text string"))
-    seen, other = lm.log_probability(nodes, np.array([keys[8]])), lm.log_probability(nodes, np.array([keys[8] ^ 64]))
-    assert -1e-6 < seen[0] < 0 and -30 < other[0] < -7
-
-
-def test_sorted_table_reads_parts_again(spark, monkeypatch):
-    monkeypatch.setattr(sorted_table, "KEPT_BYTES", 3000)
-    files = sorted_table.write(spark.range(0, 5000, 2).selectExpr("id as key", "cast(id * 3 as float) as value"), "t", part_rows=100)
-    values, found = sorted_table.SortedTable(files).lookup(np.arange(-5, 5005))
-    assert found.sum() == 2500 and values[5 + 4998] == 3 * 4998 and len(files) > 10
+        assert math.isclose(scores[i].score, want, rel_tol=1e-9)
+        assert math.isclose(scores[i].bits_per_byte, -want / math.log10(2) / (len(t) - lm.DEPTH), rel_tol=1e-9)
+
+
+def test_often_seen_contexts_keep_finite_scores(spark):
+    keys = next(lm.Texts(["aaaaaaaaaaaa"]).keys())[1]
+    key = int(keys[8])
+    got = {r.key: r.value for r in lm.log_probabilities(spark.createDataFrame([(key, 60_000_000_000), (key ^ 64, 0)], "key long, n long")).collect()}
+    assert -1e-6 < got[key] < 0 and -30 < got[key ^ 64] < -10
+
+
+def test_language_model_of_odd_texts(spark):
+    """Blanks in rows and at the ends, texts beyond a block, and no training rows."""
+    long = "ab " * 60_000 + "w" * 70_000
+    data = [(0, "one two"), (1, " one \t two\n"), (2, long), (3, None), (4, "  ")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.language_model_scores(df, F.lit(True)).collect()}
+    assert got[0].score == got[1].score and got[0].n_tokens == got[1].n_tokens == 3
+    assert got[3].score == got[4].score and got[3].n_tokens == 1 and got[2].n_tokens == got[2].n_known == 60_002
+    none = {r.doc_id: r for r in lm.language_model_scores(df, F.lit(False)).collect()}
+    assert all(math.isclose(none[i].bits_per_byte, 8) and none[i].n_known == 0 for i in none) and len(none) == 5
+
+
+def test_hashed_words_equal_each_words_own():
+    r = random.Random(7)
+    alphabet = ["a", "B", "é", " ", "\t", "\n", "\u00a0", "xyz", " \r ", "0"]
+    from codesieve.llm import shingles
+
+    one = {}
+    for block in (3, 7, 1 << 20):
+        shingles.BLOCK, old = block, shingles.BLOCK
+        try:
+            for _ in range(200):
+                text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+                w, h = shared.words(text), word_hashes(text).tolist()
+                assert len(w) == len(h)
+                for x, y in zip(w, h):
+                    assert one.setdefault(x, y) == y
+        finally:
+            shingles.BLOCK = old
+    assert len(set(one.values())) == len(one)
+    assert len(set(word_hashes(" ".join(["x" * n for n in (65_535, 65_536, 65_537, 200_000)]) + " " + "x" * 65_536 + "y").tolist())) == 5
 
 
 BASE = [("assign", re.compile(secret_scan.RULES[0].pattern, re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
