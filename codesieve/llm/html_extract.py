@@ -22,7 +22,7 @@ import html as _html
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,10 @@ RAW = frozenset("script style textarea title iframe noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
+CELLS = frozenset(("td", "th"))
 SCOPES = frozenset("table ul ol dl menu article section main body html div td th".split())
 
-_TAG = re.compile(r"""<(?:!--(?P<note>.*?)(?:-->|--!>|\Z)|(?P<decl>[!?][^>]*>?)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)/?>)""", re.S)
+_TAG = re.compile(r"""<(?:!--(?P<note>.*?)(?:-->|--!>|\Z)|(?P<decl>[!?][^>]*>?)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?P<open>>?))""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
@@ -53,7 +54,7 @@ BLOCKS = frozenset("p li h2 h3 h4 h5 h6 pre blockquote td th tr table ul ol dl d
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "text", "chars", "link_chars", "is_link", "truth", "place")
+    __slots__ = ("tag", "names", "parent", "children", "text", "chars", "link_chars", "is_link", "truth", "place", "of_page")
 
     def __init__(self, tag: str, parent, names=()):
         self.tag, self.parent, self.names = tag, parent, names
@@ -63,16 +64,19 @@ class Node:
         self.is_link = tag == "a" or (parent is not None and parent.is_link)
         self.truth = None
         self.place = 0
+        self.of_page = 0.0  # share of the page's text
 
 
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents before children; blocks have ``text``. Inline elements are no nodes."""
     root = Node("html", None)
     nodes, stack = [root], [root]  # open elements; inline ones are put as tag strings in between
-    inline: list[str] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by tag
+    inline: Counter[str] = Counter()
     parts: list[str] = []
     link = 0
     drop, at = None, 0
+    last_head = None
 
     def close_block():
         nonlocal parts, link
@@ -89,17 +93,28 @@ def parse(page: str) -> list[Node]:
         if raw:
             raw = _html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if "a" in inline:
+            if inline["a"]:
                 link += len(raw.strip())
 
     def pop_to(i: int):
         close_block()
+        for n in stack[i:]:
+            places[n.tag].pop()
         del stack[i:]
         inline.clear()
 
+    def top(tags) -> int:
+        """Place of the innermost open element with one of the tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     for m in _TAG.finditer(page):
         if m.start() < at:
             continue
+        if m["name"] is not None and not m["open"]:  # a tag that the page's end cuts off
+            if drop is None:
+                add(page[at : m.start()])
+            at = len(page)
+            break
         if drop is None:
             add(page[at : m.start()])
         at = m.end()
@@ -112,15 +127,11 @@ def parse(page: str) -> list[Node]:
             continue
         if m["end"]:
             if tag in INLINE:
-                if tag in inline:
-                    del inline[len(inline) - 1 - inline[::-1].index(tag)]
-            elif tag in ("br", "p") and not any(s.tag == tag for s in stack):
+                inline[tag] -= inline[tag] > 0
+            elif places[tag]:
+                pop_to(places[tag][-1])
+            elif tag in ("br", "p"):
                 close_block()
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        pop_to(i)
-                        break
             continue
         if tag in RAW or tag in DROPPED:
             close_block() if tag not in ("button", "select") else None
@@ -129,32 +140,27 @@ def parse(page: str) -> list[Node]:
                 at = end.end() if end else len(page)
             elif not m[0].endswith("/>"):
                 drop = tag
-                if tag == "head" and re.compile(r"</head", re.I).search(page, at) is None:
-                    drop = None  # a head without end: its elements are dropped one by one
+                if tag == "head":  # a head without end: its elements are dropped one by one
+                    last_head = page.lower().rfind("</head") if last_head is None else last_head
+                    drop = drop if last_head >= at else None
             continue
         if tag == "br" or tag in VOID:
             if tag in ("br", "hr"):
                 close_block()
             continue
         if tag in INLINE:
-            inline.append(tag)
+            inline[tag] += 1
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in ("td", "th", "table"):
-                    break
+            i = top(("p",))
+            if i > top(("td", "th", "table")):
+                pop_to(i)
         if tag in CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSED_BY[tag]:
-                    pop_to(i)
-                    break
-                if stack[i].tag in SCOPES and not (tag in ("tr", "tbody", "tfoot", "thead") and stack[i].tag in ("td", "th")):
-                    break
+            i = top(CLOSED_BY[tag])
+            if i and i >= top(SCOPES - CELLS if tag in ("tr", "tbody", "tfoot", "thead") else SCOPES):
+                pop_to(i)
         close_block()
         names = []
         if m["attrs"]:
@@ -163,16 +169,17 @@ def parse(page: str) -> list[Node]:
         n = Node(tag, stack[-1], tuple(names))
         stack[-1].children.append(n)
         nodes.append(n)
+        places[tag].append(len(stack))
         stack.append(n)
     if drop is None and at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that the page's end cuts off
-        add(rest[: cut.start()] if cut else rest)
+        add(page[at:])
     close_block()
     for n in reversed(nodes):
         if n.parent is not None:
             n.parent.chars += n.chars
             n.parent.link_chars += n.link_chars
+    for n in nodes:
+        n.of_page = n.chars / max(1, root.chars)
     return nodes
 
 
@@ -200,7 +207,7 @@ def features(n: Node) -> list[tuple[int, float]]:
         if n.text.startswith(("©", "Copyright", "(c)")):
             out.append((7, 1.0))
     else:
-        out += [(slot("tag:" + n.tag), 1.0), (9, float(n.chars == 0))]
+        out += [(slot("tag:" + n.tag), 1.0), (slot(f"pair:{n.parent.tag if n.parent is not None else ''} {n.tag}"), 1.0), (9, float(n.chars == 0)), (6, n.of_page)]
         out += [(slot("name:" + w), 1.0) for w in set(n.names)]
     return out
 
@@ -211,6 +218,11 @@ class Model:
     def __init__(self, weights: np.ndarray, prior: float, root: float, edge: dict, share: float = 1.0):
         self.weights, self.prior, self.root, self.edge, self.share = weights.tolist(), prior, root, edge, share
 
+    def _edge(self, n: Node) -> tuple[float, float]:
+        """P(content) under a parent that isn't and one that is; the root has edges of its own where they are trained."""
+        kind = n.text is not None
+        return self.edge["root", kind] if n.parent.parent is None and ("root", kind) in self.edge else self.edge[kind]
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node, by one pass upward and one downward."""
         for i, n in enumerate(nodes):
@@ -219,8 +231,9 @@ class Model:
         same = Counter(n.text for n in nodes if n.text is not None)
         lift = []  # evidence ratio content : not
         for n in nodes:
-            z = sum(w[p] * v for p, v in features(n)) - self.prior
-            if n.text is not None or n.tag in BLOCKS:
+            z = sum(w[p] * v for p, v in features(n)) - self.prior if n.parent is not None else 0.0
+            near_root = n.parent is None or n.parent.parent is None or (n.text is not None and n.parent.parent.parent is None and len(n.parent.children) == 1)
+            if (n.text is not None or n.tag in BLOCKS) and not near_root:  # nothing speaks through the root
                 t = n.text if n.text is not None else n.children[0].text if len(n.children) == 1 else None
                 z *= self.share / same.get(t, 1)  # repeats vote once, and neighbouring blocks say much the same: each has a share of a vote
             lift.append(float(np.exp(max(-12.0, min(12.0, z)))))
@@ -229,7 +242,7 @@ class Model:
         for i in range(k - 1, 0, -1):
             a, b = own[i]
             s = a + b
-            e0, e1 = self.edge[nodes[i].text is not None]
+            e0, e1 = self._edge(nodes[i])
             msg = ((1 - e0) * a + e0 * b) / s, ((1 - e1) * a + e1 * b) / s
             up[i] = msg
             p = nodes[i].parent.place
@@ -244,7 +257,7 @@ class Model:
                 x, y = down[p][0] * own[p][0] / up[i][0], down[p][1] * own[p][1] / up[i][1]
                 t = x + y
                 x, y = x / t, y / t
-                e0, e1 = self.edge[n.text is not None]
+                e0, e1 = self._edge(n)
                 d1 = x * e0 + y * e1
                 down[i] = (1 - d1, d1)
             a, b = down[i][0] * own[i][0], down[i][1] * own[i][1]
@@ -336,23 +349,29 @@ def labelled_pages(count: int = PAGES, seed: int = 5) -> list[list[Node]]:
         title = f"<h1>{mark}{words(3, 10)}</h1>" if r.random() < 0.85 else ""
         main = title + "".join(inside)
         style = r.random()
-        if style < 0.45:
+        if style < 0.4:
             main = f"<article>{main}</article>"
-        elif style < 0.6:
+        elif style < 0.53:
             main = f"<main>{main}</main>"
-        elif style < 0.7:
+        elif style < 0.62:
             main = f"<main><article>{main}</article></main>"
-        else:
+        elif style < 0.82:
             main = named("main", ("div", "section"), main)
-        if r.random() < 0.3:
+        elif style < 0.88:
+            main = f"<div>{main}</div>"
+        if r.random() < 0.3 and style < 0.88:  # else no container
             main = named("main", ("div",), main)
+        if r.random() < 0.15:  # nothing but the text
+            pages.append(_labelled(f"<html><body>{main}</body></html>" if r.random() < 0.5 else main, mark))
+            continue
         before, after = [], []
         if r.random() < 0.8:
             before.append(named("nav", ("nav", "div", "ul"), links(3, 9)))
         if r.random() < 0.5:
             before.append(named("header", ("header", "div"), r.choice((f"<h2>{words(1, 4)}</h2>", f"<h1>{words(1, 3)}</h1><p>{words(2, 8)}</p>", links(3, 6)))))
         if r.random() < 0.4:
-            (before if r.random() < 0.5 else after).append(named("notice", ("div", "section", "p"), plain(1, 2) + r.choice(("", "<button>ok</button>"))))
+            tag = r.choice(("div", "section", "p"))
+            (before if r.random() < 0.5 else after).append(named("notice", (tag,), (sentence() if tag == "p" else plain(1, 2)) + r.choice(("", "<button>ok</button>"))))
         for part, chance in (("ad", 0.6), ("side", 0.5), ("form", 0.3)):
             if r.random() < chance:
                 tags = {"ad": ("div", "div", "aside", "section"), "side": ("aside", "div", "section"), "form": ("form", "div")}[part]
@@ -365,34 +384,39 @@ def labelled_pages(count: int = PAGES, seed: int = 5) -> list[list[Node]]:
         r.shuffle(before)
         body = "".join(before) + main + "".join(after)
         if r.random() < 0.3:
-            body = f"<div>{body}</div>"
+            body = f'<div{r.choice(("", ' id="wrapper"', ' class="container"'))}>{body}</div>'
         page = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{body}" + r.choice(("</body></html>", "</body></html>", ""))
-        nodes = parse(page)
-        for n in nodes:
-            if n.text is not None:
-                n.truth = mark in n.text
-                n.text = n.text.replace(mark, "")
-        for n in nodes[::-1]:
-            if n.text is None:
-                leaves = [c.truth for c in n.children if c.truth is not None]
-                n.truth = None if not leaves else sum(leaves) * 2 > len(leaves) or (any(leaves) and n.tag not in ("div", "html", "section"))
-        pages.append(nodes)
+        pages.append(_labelled(page, mark))
     return pages
 
 
+def _labelled(page: str, mark: str) -> list[Node]:
+    """The page's nodes with ``truth``: of a block whether it has the mark, which goes; of an element by its children."""
+    nodes = parse(page)
+    for n in nodes:
+        if n.text is not None:
+            n.truth = mark in n.text
+            n.text = n.text.replace(mark, "")
+    for n in nodes[::-1]:
+        if n.text is None:
+            leaves = [c.truth for c in n.children if c.truth is not None]
+            n.truth = None if not leaves else sum(leaves) * 2 > len(leaves) or (any(leaves) and n.tag not in ("div", "html", "section"))
+    return nodes
+
+
 def train(pages: list[list[Node]] | None = None) -> Model:
     """Evidence by penalised logistic regression, edges by counts."""
     pages = labelled_pages() if pages is None else pages
     rows, labels, edges = [], [], {True: np.ones((2, 2)), False: np.ones((2, 2))}
-    roots = np.ones(2)
+    under_root = {True: np.ones(2), False: np.ones(2)}
     for nodes in pages:
         for n in nodes:
-            if n.truth is None:
+            if n.truth is None or n.parent is None:
                 continue
             rows.append(features(n))
             labels.append(n.truth)
-            if n.parent is None:
-                roots[int(n.truth)] += 1
+            if n.parent.parent is None:
+                under_root[n.text is not None][int(n.truth)] += 1
             elif n.parent.truth is not None:
                 edges[n.text is not None][int(n.parent.truth), int(n.truth)] += 1
     x, y = np.zeros((len(rows), WIDTH)), np.array(labels, float)
@@ -410,7 +434,9 @@ def train(pages: list[list[Node]] | None = None) -> Model:
     weights[used] = theta
     prior = float(np.log(y.mean() / (1 - y.mean())))
     edge = {k: (float(e[0, 1] / e[0].sum()), float(e[1, 1] / e[1].sum())) for k, e in edges.items()}
-    models = [Model(weights, prior, float(roots[1] / roots.sum()), edge, share) for share in (1.0, 0.5, 0.3, 0.2, 0.1)]
+    # the root's state is free: what stands right under it is content as often as such nodes are, whatever the root is
+    edge |= {("root", k): (float(r[1] / r.sum()),) * 2 for k, r in under_root.items()}
+    models = [Model(weights, prior, 0.5, edge, share) for share in (1.0, 0.5, 0.3, 0.2, 0.1)]
     held = labelled_pages(60, 77)
     return max(models, key=lambda m: _likelihood(m, held))
 
@@ -429,4 +455,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
             out = [model.text(h) for h in b.column("html").to_pylist()]
             yield shared.batch_of(_OUT, {"page_id": b.column("page_id"), "url": b.column("url"), "text": out, "n_chars": [len(t) for t in out]})
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return shared.in_arrow(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), run, "page_id long, url string, text string, n_chars long")
