@@ -8,8 +8,13 @@ is the log odds; of the terms in one word the heaviest counts, and a whole word'
 A general seed list has a prior weight; training evidence replaces it. A term within an exception phrase
 doesn't count. The evidence, normalised by length, passes through a logistic curve fitted to the rows.
 
+Length counts little: evidence is divided by 1 at 0 words, 1.1 at 500 and 1.56 at 20,000, since one abusive passage
+makes a long text toxic as well, while chance hits grow with length.
+
 Training reads at most ``MOST_ROWS`` labelled rows, the first by hash of doc_id (a documented bound; the
-labels table may be larger). Everything else runs over all documents.
+labels table may be larger), each with the least text of its doc_id; a doc_id with both labels is toxic. Terms
+are all that these rows bear out. Everything else runs over all documents. The same rows in any order and
+partitioning give the same lexicon and scores.
 
 Cases: null and empty texts score as texts without a term; null labels teach nothing; repeated rows score
 each; without toxic training rows the seed list stands; other columns are ignored, or kept by ``clean``.
@@ -28,7 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import shared
 
 MOST_ROWS = 12_000
-MOST_TERMS = 2_000
+#: Terms that a task counts before it gives their counts out.
+KEPT_TERMS = 300_000
 THRESHOLD = 0.7
 #: Seed terms and their prior weight: general insults, fixed values.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "scumbag", "dumbass", "asshole", "bitch", "retard", "vermin")
@@ -155,7 +161,11 @@ class Lexicon:
 def _counts(batches):
     """Rows of this task's training texts that have a word or a stem: term, toxic rows, clean rows."""
     t: dict[str, list[int]] = {}
-    for b in batches:
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array([x[1] for x in t.values()], pa.int64()), pa.array([x[0] for x in t.values()], pa.int64())], names=["term", "t", "n"])
+
+    for b in shared.slices(batches, "text"):
         for text, y in zip(shared.texts(b.column("text")), b.column("toxic").to_pylist()):
             terms = set()
             for w in set(re.findall(r"[^\W\d_]{3,}", fold(text))):
@@ -163,7 +173,10 @@ def _counts(batches):
                 terms.update(w[:k] + "*" for k in STEM if k < len(w))
             for w in terms:
                 t.setdefault(w, [0, 0])[y] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array([x[1] for x in t.values()], pa.int64()), pa.array([x[0] for x in t.values()], pa.int64())], names=["term", "t", "n"])
+            if len(t) > KEPT_TERMS:
+                yield out()
+                t.clear()
+    yield out()
 
 
 def _sketched(batches):
@@ -183,9 +196,10 @@ def _sketched(batches):
 def _training(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """The labelled training texts: text, toxic."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    rows = rows.filter(~held_out()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # at most ``most`` ids are broadcast
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    rows = rows.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # at most ``most`` ids are broadcast, and each has one text
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def held_out() -> F.Column:
@@ -228,9 +242,9 @@ def _true_stems(rows: DataFrame, stems: dict[str, int]) -> set[str]:
     return {s for s in kept if not any(o != s and o.startswith(s[:-1]) and stems[o] >= 0.9 * stems[s] for o in kept)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_terms: int = MOST_TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Lexicon:
     """Lexicon and curve from at most ``most_rows`` labelled rows."""
-    rows = _training(docs, labels, most_rows).mapInArrow(_sketched, "text string, toxic int, m0 long, m1 long, m2 long")
+    rows = shared.in_arrow(_training(docs, labels, most_rows), _sketched, "text string, toxic int, m0 long, m1 long, m2 long")
     # one of near copies, of toxic and clean ones each: rows whose three minima all agree
     rows = rows.groupBy("m0", "m1", "m2", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("x.text", "toxic")
     rows = shared.staged(rows, "toxic-training")
@@ -238,13 +252,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_t
     toxic, clean_rows = totals.get(1, 0), totals.get(0, 0)
     weights = {fold(s): PRIOR for s in SEEDS}
     if toxic:
-        found = rows.mapInArrow(_counts, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+        found = shared.in_arrow(rows, _counts, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         share = (F.col("n") + 0.5) / (clean_rows + 1)
         found = found.withColumn("odds", F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log(share))
         found = found.withColumn("ratio", F.col("t") * F.log(F.col("t") / (share * toxic)) - F.col("t") + share * toxic)
         seeds = list(weights)
         best = found.filter((F.col("t") > 0) & ((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS) | F.col("term").isin(seeds)))
-        chosen = {r.term: r for r in best.orderBy(F.desc("ratio"), "term").limit(most_terms).collect()}
+        chosen = {r.term: r for r in best.orderBy(F.desc("ratio"), "term").collect()}
         stems = _true_stems(rows, {t: r.t for t, r in chosen.items() if t.endswith("*")})
         weights |= {t: max(0.0, min(8.0, r.odds)) for t, r in chosen.items() if (not t.endswith("*") or t in stems) and (t not in weights or r.t + r.n >= 3)}
     lexicon = Lexicon({w: x for w, x in weights.items() if x > 0})
@@ -254,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_t
             e = [lexicon.evidence(t)[1] for t in shared.texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.float64()), b.column("toxic")], names=["e", "toxic"])
 
-    points = rows.mapInArrow(measure, "e double, toxic int").toPandas()  # most_rows at most
+    points = shared.in_arrow(rows, measure, "e double, toxic int").toPandas().sort_values(["e", "toxic"])  # most_rows at most; in order, so that sums don't hang on it
     lexicon.slope, lexicon.bias = _fit_curve(points.e.to_numpy(float), points.toxic.to_numpy(float))
     return lexicon
 
@@ -268,7 +282,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             s, n, e = zip(*rows)
             yield shared.batch_of(_SCORED, {"doc_id": b.column("doc_id"), "score": s, "terms": n, "evidence": e})
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, terms long, evidence double")
+    out = shared.in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, terms long, evidence double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "terms", "evidence")
 
 
@@ -279,4 +293,4 @@ def clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in shared.slices(batches, "text"):
             yield b.filter(pa.array([lexicon.score(t)[0] < THRESHOLD for t in shared.texts(b.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.in_arrow(docs, run, docs.schema)
