@@ -27,6 +27,8 @@ from . import shared, tokens
 LIMIT = 16
 BLOCK = 1 << 16
 STRIDE = 64
+#: Ids after which a task begins its next file.
+FILE_IDS = 1 << 23
 MAGIC = b"IDH1"
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 _FILES = pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -204,7 +206,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None) -
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    cut_ids = shared.staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, n_tokens long, ids binary, counts binary"), "ids")
+    cut_ids = shared.staged(shared.in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut, "doc_id long, n_tokens long, ids binary, counts binary"), "ids")
     vectors = cut_ids.filter("n_tokens < 0").select("counts")
     # at most one row for each id of the vocabulary comes to the driver
     rows = vectors.mapInArrow(summed, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
@@ -216,18 +218,31 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None) -
     width = "<u2" if len(counts) <= 1 << 16 else "<u4"
 
     def encode(batches):
-        part, doc_ids, n, parts = TaskContext.get().partitionId(), [], [], []
+        part, doc_ids, n, parts, held = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def roll():
+            nonlocal part, held
+            ids = np.concatenate(parts)
+            file = shared.put_file(folder, f"part-{part >> 32:06d}-{part & 0xFFFFFFFF:05d}.ids", file_bytes(doc_ids, np.array(n, np.int64), ids, code, lengths))
+            out = shared.batch_of(_FILES, {"part": [part], "file": [file], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+            for x in (doc_ids, n, parts):
+                x.clear()
+            part, held = part + 1, 0
+            return out
+
         for b in batches:
-            doc_ids += b.column("doc_id").to_pylist()
-            n += b.column("n_tokens").to_pylist()
-            parts += [np.frombuffer(x, width) for x in b.column("ids").to_pylist()]
+            for doc, k, x in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("ids")):
+                doc_ids.append(doc)
+                n.append(k)
+                parts.append(np.frombuffer(x.as_buffer(), width))
+                held += k
+                if held >= FILE_IDS:
+                    yield roll()
         if doc_ids:
-            ids = np.concatenate(parts)
-            file = shared.put_file(folder, f"part-{part:06d}.ids", file_bytes(doc_ids, np.array(n, np.int64), ids, code, lengths))
-            yield shared.batch_of(_FILES, {"part": [part], "file": [file], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+            yield roll()
 
     ordered = cut_ids.filter("n_tokens >= 0").drop("counts").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
-    return shared.staged(ordered.mapInArrow(encode, "part long, file string, n_docs long, n_ids long"), "files"), folder
+    return shared.staged(shared.in_arrow(ordered, encode, "part long, file string, n_docs long, n_ids long"), "files"), folder
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -256,4 +271,4 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     based = manifest.withColumn("base", base).select("part", "file", "base")
     files = manifest.agg(F.count(F.lit(1))).first()[0]
     spread = based.repartition(max(1, min(files, 10_000)), "part")
-    return spread.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shared.in_arrow(spread, decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
