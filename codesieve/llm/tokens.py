@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 
+from . import shared
+
 #: Texts end with this id.
 END_ID = 2
 #: Words kept in a worker's table before it starts anew.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 500_000
 
 
 def default_path() -> str:
@@ -31,13 +33,30 @@ class _Places(dict):
         return k
 
 
+class _Apart(dict):
+    """Whether a full stop behind a character is a piece of its own.
+
+    The library itself tells: what a character is composed to or lower-cased to may end in a mark, and then
+    the stop joins it.
+    """
+
+    def __init__(self, run):
+        super().__init__()
+        self.run = run
+
+    def __missing__(self, c: str) -> bool:
+        both, one, stop = self.run([c + ".", c, "."])
+        self[c] = out = both == one + stop
+        return out
+
+
 class WordEncoder:
     """Ids of texts, equal to encoding each whole text.
 
     The tokenizer never joins characters across a blank or a line feed, lower-cases what it reads
     and parts letters from punctuation. So each stretch between blanks is encoded once by the
-    library and then looked up; a full stop or comma at its end stands alone unless other
-    punctuation precedes it. The table starts anew at ``KEPT_WORDS`` entries: memory is bounded
+    library and then looked up; a full stop or comma at its end stands alone behind a letter or a
+    digit that stays one. The table starts anew at ``KEPT_WORDS`` entries: memory is bounded
     for any vocabulary of the corpus.
     """
 
@@ -50,13 +69,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.apart = _Apart(self._run)
         self._reset()
 
     def _reset(self) -> None:
         self.at = _Places()
         self.length = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
-        self.odd = np.zeros(1 << 16, bool)  # the word ends neither with a letter nor with a digit
+        self.odd = np.zeros(1 << 16, bool)  # a stop behind the word may join it
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
         self.marks = (self.at["."], self.at[","])
@@ -84,6 +104,7 @@ class WordEncoder:
         first = len(self.at) - len(new)
         while len(self.at) > len(self.length):
             self.length, self.start, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.length, self.start, self.odd))
+        self.odd[first : len(self.at)] = [bool(w) and not (w[-1].isalnum() and (w[-1].isascii() or self.apart[w[-1]])) for w in new]
         plain = np.fromiter((w.isalpha() and w.islower() for w in new), bool, len(new))
         letters, other = np.flatnonzero(plain), np.flatnonzero(~plain)
         for at in range(0, len(letters), 2_000):  # joined by blanks: each ends where an end-of-word piece stands
@@ -99,7 +120,6 @@ class WordEncoder:
             part = other[at : at + 20_000]
             group = [new[i] for i in part]
             self._put_each(first + part, group)
-            self.odd[first + part] = [bool(w) and not w[-1].isalnum() for w in group]
 
     @staticmethod
     def _lower(text: str) -> str:
@@ -151,16 +171,10 @@ class WordEncoder:
         return (np.concatenate(pieces) if pieces else np.zeros(0, np.int32)), counts
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str | None = None) -> WordEncoder:
     """This worker's encoder for a tokenizer file."""
     path = path or default_path()
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return shared.kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def crc(ids: np.ndarray) -> int:
