@@ -9,6 +9,9 @@ marks that aren't letters or digits.
 Items are taken in blocks of about ``BLOCK_CHARS`` characters, and each block's index goes over all
 documents once: a block's broadcast is bounded, and a larger benchmark costs more passes.
 
+An item of fewer than ``ERROR_SHARE`` words has no budget and matches where it stands word for word, a one-word item
+wherever its word does: leave items out that are too short to tell anything.
+
 Cases: null and empty texts and items never match; repeated items with one id count once; repeated
 rows are reported each; empty tables give no row; other columns are ignored, or kept by ``clean``.
 """
@@ -25,7 +28,7 @@ from .shingles import _MIX, _finish
 
 BLOCK_CHARS = 8_000_000
 ERROR_SHARE = 5  # one edit for so many words
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 FILTER_BITS = 22
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("end_word", pa.int64())])
 FOUND = "doc_id long, item_id long, distance int, item_words int, end_word long"
@@ -40,13 +43,11 @@ class _Keys(dict):
         return h
 
 
-_KEYS = _Keys()
-
-
 def keys(text: str) -> np.ndarray:
-    if len(_KEYS) > KEPT_WORDS:
-        _KEYS.clear()
-    h = np.array(list(map(_KEYS.__getitem__, text.split())), np.uint64)
+    table = shared.kept("bare words", _Keys)
+    if len(table) > KEPT_WORDS:
+        table.clear()
+    h = np.array(list(map(table.__getitem__, text.split())), np.uint64)
     return h[h != 0]
 
 
@@ -145,7 +146,7 @@ def _rolled(words: np.ndarray, n: int, x: np.ndarray | None = None, done: int =
 
 def _indexes(benchmark: DataFrame):
     """Broadcast indexes of the blocks."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
     for k in range(n):
@@ -166,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rows += [(doc, item, *hit) for item, hit in index.value.find(t).items()]
                 yield shared.batch_of(_FOUND, dict(zip(_FOUND.names, zip(*rows))) if rows else {c: [] for c in _FOUND.names})
 
-        part = docs.mapInArrow(run, FOUND)
+        part = shared.in_arrow(docs, run, FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -179,5 +180,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in shared.slices(batches, "text"):
                 yield b.filter(pa.array([not index.value.find(t) for t in shared.texts(b.column("text"))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = shared.in_arrow(docs, run, docs.schema)
     return docs

@@ -124,7 +124,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, windows
         yield _batch(packer.rows(part, True))
 
     done = []
-    now = shared.staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(first, SCHEMA), "pack")
+    now = shared.staged(shared.in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), first, SCHEMA), "pack")
     turn = 0
     while True:
         done.append(now.filter("ids is null"))

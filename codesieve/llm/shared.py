@@ -147,8 +147,8 @@ def releasing(run: Callable) -> Callable:
     return released
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of one piece come to about ``most`` bytes (a longer text stands alone)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | tuple[str, ...], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts of one piece, in all columns named, come to about ``most`` bytes (a longer text stands alone)."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -156,7 +156,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         n = batch.num_rows
         if not n:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        lengths = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ((column,) if isinstance(column, str) else column)]
+        size = np.cumsum(sum(lengths))
         at = 0
         while at < n:
             done = int(size[at - 1]) if at else 0

@@ -51,7 +51,7 @@ def counted(docs: DataFrame, version: str = VERSION, path: str | None = None) ->
         columns = [[k[0] for k in keys], [k[1] for k in keys], *([v[i] for v in values] for i in range(3))]
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _COUNTED)], schema=_COUNTED)
 
-    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(run, "source string, lang string, n_docs long, n_tokens long, n_chars long")
+    rows = shared.in_arrow(docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text"), run, "source string, lang string, n_docs long, n_tokens long, n_chars long")
     return rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), *SUMS)
 
 
