@@ -155,11 +155,11 @@ def satisfied(query: Query, held: Column) -> Column:
 
 
 def postings(docs: DataFrame, wanted: set[str]) -> DataFrame:
-    """The inverted index: (gram, doc_id), sorted by gram."""
+    """The inverted index: (gram, doc_id), in parts by document, each sorted by gram."""
     each = F.array(*(F.lit(g) for g in sorted(wanted)))
     held = F.transform(F.array(F.lower("text")), lambda t: F.filter(each, lambda g: F.contains(t, g)))[0]  # lower() once a text
     rows = docs.select("doc_id", F.explode(held).alias("gram"))
-    return shared.staged(rows.repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id"), "postings")
+    return shared.staged(rows.sortWithinPartitions("gram", "doc_id"), "postings")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -192,8 +192,8 @@ def _spans(rule: Rule, place: int) -> Column:
     return F.when(F.col("text").rlike(rule.pattern), found).otherwise(none)
 
 
-def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``found``: all rules' spans (start, kind, end), by start, then kind; an empty array where there is none."""
+def _located(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``docs`` (doc_id, text and at most a column ``row``) with ``found``."""
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     hits = candidates(docs.select("doc_id", "text"), rules)
     small = hits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
@@ -205,6 +205,11 @@ def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return joined.withColumn("found", F.array_sort(F.concat(*each))).drop("_hit_id", "_hit")
 
 
+def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, text and ``found``: all rules' spans (start, kind, end), by start, then kind; an empty array where there is none."""
+    return _located(docs.select("doc_id", "text"), rules)
+
+
 def _said(found: Column, rules: tuple[Rule, ...]) -> Column:
     names = F.array(*(F.lit(r.kind) for r in rules))
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -234,7 +239,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, kept).otherwise(acc["out"]).alias("out"))
 
     text = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    out = spans(docs, rules).withColumn("text", F.when(F.size("found") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    # the row's columns stand in a struct, where no name of theirs can clash
+    out = _located(docs.select("doc_id", "text", F.struct("*").alias("row")), rules).select("row", F.when(F.size("found") > 0, text).alias("new"))
+    changed = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType if "n_chars" in columns else "long")}
+    old = F.col("row")
+    return out.select(*(F.coalesce(changed[c], old[c]).alias(c) if c in changed else old[c].alias(c) for c in columns))
