@@ -11,8 +11,9 @@
    component then needs no further check, and the rest is checked in a last turn.
 5. Buckets (one tree, one prefix of ``LEAST_PREFIX``) of more nodes than the neighbours reach, and of
    several components, are compared whole: each node outside the bucket's largest component with each
-   node of another component, block by block. What may link is confirmed best first, in growing turns,
-   until each pair is confirmed, refuted or within one component. This costs the product of the nodes
+   node of another component, block by block, in the first of the trees whose bucket both share. A block
+   that has pairs which may link gets their texts and confirms them, best first, until each pair is
+   confirmed, refuted or within one component; only links leave it. This costs the product of the nodes
    outside and the bucket.
 
 Cases: null and empty texts have an empty set and link with nothing; rows that repeat a doc_id are
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import shared
 from .components import components
@@ -35,8 +36,8 @@ TREES, DEPTH = 16, 8
 LEAST_PREFIX = 4
 NEIGHBOURS = 4
 DEVIATIONS = 5
-#: Rows of each side of a comparison within a crowded bucket, and pairs of a node and a component in the first turn.
-BLOCK, FIRST_TURN = 4096, 8
+#: Rows and shingles of each side of a comparison within a crowded bucket.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 #: Ids of candidate documents are broadcast up to this count (16 MB), beyond it the texts are shuffled.
 MOST_BROADCAST = 2_000_000
 _RNG = np.random.default_rng(20_240_601)
@@ -45,8 +46,7 @@ _B = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 _TREE = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_MEMBERS = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
-_ESTIMATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
+_MEMBERS = pa.schema([("bucket", pa.int64()), ("tree", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield shared.batch_of(_SIGNED, {"doc_id": b.column("doc_id"), "n_shingles": n, "digest": digest, "signature": sig})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return shared.in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
 def _branches(batches):
@@ -109,9 +109,9 @@ def _neighbours(batches):
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b, from ``nodes`` (node, signature)."""
-    rows = nodes.select("node", "signature").mapInArrow(_branches, "tree int, key binary, node long")
+    rows = shared.in_arrow(nodes.select("node", "signature"), _branches, "tree int, key binary, node long")
     ordered = rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return ordered.mapInArrow(_neighbours, "a long, b long").filter("a <> b").distinct()
+    return shared.in_arrow(ordered, _neighbours, "a long, b long").filter("a <> b").distinct()
 
 
 def least_estimate(percent: int) -> float:
@@ -136,51 +136,121 @@ def _estimated(least: float):
 def _members(batches):
     """A row for each tree and node; nodes with one prefix in a tree have one bucket."""
     for b in batches:
-        sigs = b.column(2).to_pylist()
+        sigs = b.column("signature").to_pylist()
         for t in range(TREES):
             at = 4 * DEPTH * t
             bucket = np.array([xxhash.xxh3_64_intdigest(s[at : at + 4 * LEAST_PREFIX], t) for s in sigs], np.uint64).view(np.int64)
-            yield shared.batch_of(_MEMBERS, {"bucket": bucket, "node": b.column(0), "root": b.column(1)})
+            yield shared.batch_of(_MEMBERS, {"bucket": bucket, "tree": np.full(len(sigs), t, np.int32), "node": b.column("node"), "root": b.column("root"), "n": b.column("n")})
+
+
+def _pairs(t: pa.Table, least: float, percent: int):
+    """(place of a node outside the largest component, places of nodes of other components, their estimates) of a block.
+
+    Pairs that may link and have no common prefix in an earlier tree, where they are compared as well if need be.
+    """
+    sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(t.num_rows, -1)
+    node, root, main, outside, n = (t.column(c).to_numpy() for c in ("node", "root", "main", "outside", "n"))
+    tree, rows = t.column("tree")[0].as_py(), np.flatnonzero(~outside)
+    others, ids, roots, sizes = sig[rows], node[rows], root[rows], n[rows]
+    in_main = roots == main[rows]
+    for i in np.flatnonzero(outside):
+        # two nodes outside meet twice; sets of unlike sizes can't be alike
+        ok = (roots != root[i]) & (in_main | (ids < node[i])) & (100 * np.minimum(sizes, n[i]) >= percent * np.maximum(sizes, n[i]))
+        at = np.flatnonzero(ok)
+        equal = others[at] == sig[i]
+        same = equal.mean(axis=1)
+        likely = same >= least
+        at, same = at[likely], same[likely]
+        earlier = equal[likely].reshape(-1, TREES, DEPTH)[:, :tree, :LEAST_PREFIX].all(axis=2).any(axis=1)
+        if not earlier.all():
+            yield i, rows[at[~earlier]], same[~earlier]
+
+
+def _compared(least: float, percent: int):
+    """The rows of a block that have a pair."""
 
+    def run(t: pa.Table) -> pa.Table:
+        keep = np.zeros(t.num_rows, bool)
+        for i, at, _ in _pairs(t, least, percent):
+            keep[i] = True
+            keep[at] = True
+        return t.filter(pa.array(keep))
+
+    return run
 
-def _compared(least: float):
-    """Pairs of a block of nodes outside the largest component and a block of the bucket that may link."""
+
+def _linked(least: float, size: int, percent: int):
+    """Links within a block, the likeliest pairs first; what they have joined already needs no more."""
 
     def run(t: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u4").reshape(t.num_rows, -1)
-        node, root, main, outside = (t.column(c).to_numpy() for c in ("node", "root", "main", "outside"))
-        rows = np.flatnonzero(~outside)
-        others, n, r = sig[rows], node[rows], root[rows]
-        in_main = r == main[rows]
-        a, b, estimate = [], [], []
-        for i in np.flatnonzero(outside):
-            # two nodes outside meet twice
-            at = np.flatnonzero((r != root[i]) & (in_main | (n < node[i])))
-            same = (others[at] == sig[i]).mean(axis=1)
-            keep = same >= least
-            b.append(n[at[keep]])
-            a.append(np.full(len(b[-1]), node[i]))
-            estimate.append(same[keep])
-        columns = {c: np.concatenate(x) if x else [] for c, x in (("a", a), ("b", b), ("estimate", estimate))}
-        return pa.Table.from_batches([shared.batch_of(_ESTIMATES, columns)])
+        texts, held = t.column("text"), {}
+        node, root = (t.column(c).to_pylist() for c in ("node", "root"))
+        sides = list(zip(node, t.column("outside").to_pylist()))
+        if len(set(sides)) < t.num_rows:  # a doc_id with several texts: the node's is the one with its signature
+            sig, own = t.column("signature").to_pylist(), {}
+            for i, side in enumerate(sides):
+                s = shingle_set(texts[i].as_py() or "", size)
+                if side not in own and len(s) and signature(s).astype(">u4").tobytes() == sig[i]:
+                    own[side] = i
+            t = t.take(pa.array(sorted(own.values()), pa.int64()))
+            texts, node, root = t.column("text"), t.column("node").to_pylist(), t.column("root").to_pylist()
+            if not t.num_rows:
+                return pa.Table.from_batches([], _PAIRS)
+        up: dict[int, int] = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def of(i):
+            if i not in held:
+                held[i] = shingle_set(texts[i].as_py() or "", size)
+            return held[i]
+
+        found = [(np.full(len(at), i), at, same) for i, at, same in _pairs(t, least, percent)]
+        x, y, same = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), (), ())))
+        a, b = [], []
+        for k in np.argsort(-same, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            p, q = find(root[i]), find(root[j])
+            if p == q:
+                continue
+            n = common(of(i), of(j))
+            if 100 * n >= percent * (len(of(i)) + len(of(j)) - n):
+                up[max(p, q)] = min(p, q)
+                a.append(node[i])
+                b.append(node[j])
+        shared.release()
+        return pa.Table.from_batches([shared.batch_of(_PAIRS, {"a": a, "b": b})])
 
     return run
 
 
-def crowded(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b, estimate) from ``nodes`` (node, signature): pairs of different components that share a bucket which neighbours don't exhaust."""
-    placed = nodes.select("node", "signature").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "signature")
-    members = shared.staged(placed.mapInArrow(_members, "bucket long, node long, root long"), "members")
-    by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    largest = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("n")).filter((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("x.k")))
-    blocks = largest.select("bucket", F.col("x.root").alias("main"), F.ceil((F.col("n") - F.col("x.k")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns"))
+def crowded(nodes: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes (node, signature, n) of different components that share a bucket which neighbours don't exhaust."""
+    least = least_estimate(percent)
+    placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "signature", "n")
+    members = shared.staged(shared.in_arrow(placed, _members, "bucket long, tree int, node long, root long, n long"), "members")
+    by_root = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    largest = by_root.groupBy("bucket").agg(F.max(F.struct("k", "root", "s")).alias("x"), F.sum("k").alias("n"), F.sum("s").alias("s")).filter((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("x.k")))
+
+    def cut(rows, shingles):
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))
+
+    blocks = largest.select("bucket", F.col("x.root").alias("main"), cut(F.col("n") - F.col("x.k"), F.col("s") - F.col("x.s")).alias("rows"), cut(F.col("n"), F.col("s")).alias("columns"))
     crowd = shared.staged(members.join(shared.staged(blocks, "crowded"), "bucket"), "crowd")
     spread = F.xxhash64("node")
     outside = crowd.filter("root <> main").withColumn("i", F.pmod(spread, "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("outside", F.lit(True))
     inside = crowd.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("j", F.pmod(spread, "columns")).withColumn("outside", F.lit(False))
-    columns = ["bucket", "i", "j", "node", "root", "main", "outside"]
-    both = outside.select(columns).unionByName(inside.select(columns)).join(nodes.select("node", "signature"), "node")
-    return both.groupBy("bucket", "i", "j").applyInArrow(_compared(least), "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    columns = ["bucket", "tree", "i", "j", "node", "root", "main", "outside", "n"]
+    both = outside.select(columns).unionByName(inside.select(columns)).join(nodes.select("node", "signature"), "node").select(*columns, "signature")
+    likely = shared.staged(both.groupBy("bucket", "i", "j").applyInArrow(_compared(least, percent), both.schema), "likely")
+    if likely.isEmpty():
+        return likely.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    texts = shared.staged(_among(docs, likely.select(F.col("node").alias("doc_id")).distinct(), "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    return likely.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("bucket", "i", "j").applyInArrow(_linked(least, size, percent), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -188,11 +258,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches):
         last: dict[tuple, np.ndarray] = {}
-        for batch in shared.slices(batches, "ta"):
+        for batch in shared.slices(batches, ("ta", "tb")):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for i, j, x, y in zip(a, b, shared.texts(batch.column("ta")), shared.texts(batch.column("tb"))):
-                if len(last) > 64:
+                if len(last) > 16:
                     last.clear()
                 sets = []
                 for k in ((i, x), (j, y)):
@@ -205,7 +275,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return shared.in_arrow(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -231,12 +301,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = shared.staged(signed(docs, size), "signed")
-    grouped = all_rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x"))
-    nodes = shared.staged(grouped.select("digest", F.col("x.doc_id").alias("node"), F.col("x.signature").alias("signature")), "nodes")
+    grouped = all_rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("x"))
+    nodes = shared.staged(grouped.select("digest", F.col("x.doc_id").alias("node"), F.col("x.signature").alias("signature"), F.col("x.n_shingles").alias("n")), "nodes")
     pairs, least = candidates(nodes), least_estimate(percent)
     sig = nodes.select("node", "signature")
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
-    likely = shared.staged(both.mapInArrow(_estimated(least), "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "likely")
+    likely = shared.staged(shared.in_arrow(both, _estimated(least), "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "likely")
 
     texts = _texts_of(docs, likely)
     best = F.max(F.struct("estimate", "b")).alias("x"), F.max(F.struct("estimate", "a")).alias("x")
@@ -248,15 +318,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if not rest.isEmpty():
         roots = _joined(roots, shared.staged(confirmed(rest, texts, size, percent).distinct(), "links"))
 
-    known = likely.select("a", "b").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = shared.staged(crowded(nodes, roots, least).join(known, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        texts, turn = _texts_of(docs, rest), FIRST_TURN
-        while not rest.isEmpty():
-            order = Window.partitionBy("a", "rb").orderBy(F.desc("estimate"), "b")
-            ranked = shared.staged(_apart(rest.select("a", "b", "estimate"), roots).withColumn("turn", F.row_number().over(order)), "rest")
-            roots = _joined(roots, shared.staged(confirmed(ranked.filter(F.col("turn") <= turn), texts, size, percent).distinct(), "links"))
-            rest, turn = ranked.filter(F.col("turn") > turn), 8 * turn
+    roots = _joined(roots, shared.staged(crowded(nodes.select("node", "signature", "n"), roots, docs, size, percent), "links"))
 
     placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
