@@ -46,6 +46,8 @@ CHUNK_BYTES, CHUNK_KEYS = 64_000_000, 1_500_000
 MERGE_ROWS = 1_000_000
 #: Rows of the counts that the model's steps take at once, besides a whole group by three bytes.
 GROUP_ROWS = 200_000
+#: Parts by the third byte that a context of two bytes is dealt to.
+SALTS = 8
 END = 10
 #: Keys: (context, byte) below TOKENS, words negative.
 TOKENS, TEXTS = 1 << 48, (1 << 48) + 1
@@ -322,8 +324,10 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     columns = [c for c in _MIXED.names if c != "key"]
     tops = shared.in_arrow(two, downward, ", ".join(f"{f.name} {'long' if f.name == 'key' else 'double'}" for f in _MIXED))
     # the group of a context of two bytes stands before those of three that end in it
-    tops = tops.select(F.shiftright("key", 8).alias("near"), F.lit(-1).cast("long").alias("n"), "key", (F.shiftright("key", 8) * 256 - 1).alias("group"), *columns)
-    rows = grams.select(F.shiftright("group", 8).alias("near"), "n", "key", F.col("group"), *(F.lit(None).cast("double").alias(c) for c in columns)).unionByName(tops)
+    near = F.shiftright("key", 8).alias("near")
+    tops = tops.select(near, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(-1).cast("long").alias("n"), "key", (F.shiftright("key", 8) * 256 - 1).alias("group"), *columns)
+    third = (F.col("group") % SALTS).cast("int").alias("salt")
+    rows = grams.select(F.shiftright("group", 8).alias("near"), third, "n", "key", "group", *(F.lit(None).cast("double").alias(c) for c in columns)).unionByName(tops)
 
     def answer(batches):
         tops: dict[str, np.ndarray] | None = None
@@ -342,7 +346,7 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
             for a in range(0, len(key), 100_000):
                 yield shared.batch_of(_VALUES, {"key": key[a : a + 100_000], "value": value[a : a + 100_000]})
 
-    return shared.in_arrow(rows.repartition("near").sortWithinPartitions("group", "key"), answer, "key long, value double")
+    return shared.in_arrow(rows.repartition("near", "salt").sortWithinPartitions("group", "key"), answer, "key long, value double")
 
 
 def _found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
