@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,28 @@ def test_encoder_equals_library(rows, ids):
     assert n.tolist() == [len(x) for x in ids] and (got == np.concatenate(ids)).all()
 
 
+def test_encoder_equals_library_behind_any_letter():
+    """Letters that composing or lower-casing turns into letter and mark, and some thousand others, before stops and blanks."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    def last(c):
+        return unicodedata.normalize("NFC", chr(c)).lower()[-1]
+
+    letters = [c for c in range(0x30000) if chr(c).isalnum()]
+    odd = [c for c in letters if not last(c).isalnum()]
+    assert len(odd) >= 20 and 0x130 in odd and 0x9DF in odd
+    chars = odd + letters[:1500] + random.Random(1).sample(letters, 1500)
+    texts = [f"a{chr(c)}. {chr(c)}, {chr(c)} x{chr(c)} {chr(c)}b{chr(c)}." for c in chars] + ["TÜRKİYE, İKİ, BEŞ. HEPSİ. SON", "হয়, কর. হয়"]
+    r = random.Random(2)
+    texts += ["".join(r.choice([chr(r.choice(chars)), " ", ". ", ", ", "\n", "'s ", "\u0301", "<|endoftext|>", "\t"]) for _ in range(30)) for _ in range(300)]
+    want = [e.ids + [2] for e in Tokenizer.from_file(tokens.default_path()).encode_batch(texts, add_special_tokens=False)]
+    got, n = tokens.WordEncoder().encode(texts)
+    ends = np.cumsum(n)
+    assert [got[e - k : e].tolist() for e, k in zip(ends.tolist(), n.tolist())] == want
+
+
 def test_code_lengths_are_optimal_and_limited():
     counts = np.array([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55])
     n = huffman.code_lengths(counts)
@@ -94,6 +117,15 @@ def test_token_files(docs, rows, ids, empty):
     assert huffman.read(*huffman.write(empty)).count() == 0
 
 
+def test_token_files_roll(docs, rows, ids, monkeypatch):
+    monkeypatch.setattr(huffman, "FILE_IDS", 700)
+    manifest, folder = huffman.write(docs)
+    assert manifest.count() > 10
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    starts = np.cumsum([0] + [len(ids[i]) for i in order])
+    assert sorted((r.start, r.ids_crc32) for r in huffman.read(manifest, folder).collect()) == sorted((int(s), tokens.crc(ids[i])) for i, s in zip(order, starts))
+
+
 def test_packing(docs, rows, ids, empty):
     out = packing.pack(docs, size=256, windows=3, fan_in=2).collect()
     by = {x[0]: i for x, i in zip(rows, ids)}
@@ -140,7 +172,8 @@ def test_near_duplicates(docs, rows, empty):
     assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect() if r.doc_id is not None) == sorted(i for i in up if find(i) == i)
 
 
-def test_near_duplicates_of_a_star(spark):
+def test_near_duplicates_of_a_star(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 300)  # several blocks
     rng = random.Random(5)
     original = [f"w{i}" for i in range(180)]
     rows = [(700, " ".join(original))]
@@ -149,8 +182,9 @@ def test_near_duplicates_of_a_star(spark):
         for k, at in enumerate(rng.sample(range(3, 177, 3), 3)):
             words[at] = f"x{i}y{k}"
         rows.append((i if i < 700 else i + 1, " ".join(words)))
+    rows += [(5, "another text of the same id"), (700, "and one more")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
-    assert len(got) == 1001 and {r.component_id for r in got} == {0}
+    assert len(got) == 1003 and {r.component_id for r in got if r.n_shingles > 4} == {0}
 
 
 def test_pairs_at_the_threshold_pass_the_estimate(spark):
@@ -226,6 +260,76 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Every stretch of every document against every item."""
+    r = random.Random(21)
+    items = [[r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(r.choice((5, 9, 12, 17)))] for _ in range(25)]
+    texts = []
+    for _ in range(120):
+        w = [r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(r.randint(0, 25))]
+        if r.random() < 0.7:
+            x = list(r.choice(items))
+            for _ in range(r.randint(0, 4)):
+                k = r.randrange(len(x))
+                x[k : k + r.randint(0, 1)] = [r.choice(("zzz", "qqq"))] * r.randint(0, 1)
+                x = x or ["zzz"]
+            k = r.randint(0, len(w))
+            w[k:k] = x
+        texts.append(w)
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            row = [0] * (len(t) + 1)
+            for a, p in enumerate(x, 1):
+                new = [a]
+                for b, q in enumerate(t, 1):
+                    new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (p != q)))
+                row = new
+            if min(row) <= len(x) // 5:
+                want.add((d, i, min(row)))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] * 2, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect()} == want and len(want) > 30
+
+
+def test_toxicity_is_the_same_in_any_order(spark):
+    r = random.Random(12)
+    data = [(i, prose(r, 30) + (" blorp" * 2 if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    data += [(i, prose(r, 20), 0) for i in range(20)]  # repeated ids with other texts and labels
+    out = []
+    for order in (data, data[::-1]):
+        d = spark.createDataFrame([x[:2] for x in order], "doc_id long, text string").repartition(3 if order is data else 2)
+        learnt = toxicity.learn(d, spark.createDataFrame([(x[0], x[2]) for x in order], "doc_id long, toxic int"))
+        out.append(sorted((x.doc_id, x.score) for x in toxicity.scored(d, learnt).collect()))
+    assert out[0] == out[1]
+
+
+def test_lexicon_equals_plain_search():
+    """Terms found one by one in the folded text."""
+    r = random.Random(31)
+    lexicon = toxicity.Lexicon({"grub": 2.0, "grub*": 1.0, "moron": 3.0, "idiot": 4.0, "tra": 1.5}, exceptions=("grub bag", "the idiot by"))
+    words = ["grub", "grubs", "moron", "1diot", "the", "by", "bag", "tra", "trail", "m0r0n", "x"]
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice((" ", " ", ".", "")) for _ in range(r.randint(0, 12)))
+        folded = toxicity.fold(text)
+        spans = [(m.start(), m.end()) for e in lexicon.exceptions for m in re.finditer(rf"(?<!\w){re.escape(toxicity.fold(e))}(?!\w)", folded)]
+        total = n = 0
+        for m in re.finditer(r"\w+", folded):
+            best = lexicon.weights.get(m[0])
+            end = m.end()
+            if best is None:
+                stems = [(lexicon.weights[t], len(t) - 1) for t in lexicon.weights if t.endswith("*") and m[0].startswith(t[:-1]) and len(m[0]) > len(t) - 1 and m[0][len(t) - 1].isalpha()]
+                if not stems:
+                    continue
+                best, k = max(stems)
+                end = m.start() + k
+            if not any(a <= m.start() and end <= b for a, b in spans):
+                total, n = total + best, n + 1
+        got = lexicon.evidence(text)
+        words_in = folded.count(" ") + 1
+        assert got[0] == n and math.isclose(got[1], total / (1 + toxicity.LENGTH_SHARE * math.log1p(words_in / toxicity.LENGTH_WORDS)), abs_tol=1e-9), text
+
+
 def test_toxicity(spark, docs, empty):
     lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 6.0, toxicity.fold("clown"): 6.0, "trash": 6.0, "grub*": 5.0}, slope=2.0, bias=-5.0)
     for bad in ("you 1d10t", "ｉｄｉｏｔ!", "іdiоt", "C10WN.", "grubbery"):
@@ -396,6 +500,15 @@ def test_secret_scan(spark, rows, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    schema = "doc_id long, text string, found string, _hit long, _hit_id long, row string, new string, hit string, n_chars long, `a.b` string"
+    df = spark.createDataFrame([(1, "x token=abcdefgh12 y", "f", 2, 3, "r", "n", "h", 20, "ab"), (2, None, "f", None, 3, None, None, "h", None, None), (3, "clean", "f", 2, 3, "r", "n", "h", 5, "ab")], schema)
+    got = {r.doc_id: r for r in secret_scan.redact(df).collect()}
+    assert secret_scan.redact(df).schema.names == df.schema.names
+    assert tuple(got[1]) == (1, "x [assign] y", "f", 2, 3, "r", "n", "h", 12, "ab")
+    assert tuple(got[2]) == (2, None, "f", None, 3, None, None, "h", None, None) and tuple(got[3])[1:3] == ("clean", "f")
+
+
 def test_trigram_queries_are_mandatory():
     assert secret_scan.trigram_query("[0-9a-f]{32,}") is True and secret_scan.trigram_query("ab|cde") is True
     assert secret_scan.grams(secret_scan.trigram_query("AKIA[A-Z]+")) == {"aki", "kia"}
@@ -448,6 +561,26 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0), model).count() == 0
 
 
+def test_html_of_layouts_that_training_lacks():
+    model = html_extract.train()
+    for page, want in (
+        ("<article><p>Real text, here.</p></article>", "Real text, here."),
+        ("<article><p>One short.</p><p>Two short.</p></article>", "One short. Two short."),
+        ("<html><body><h1>A title here</h1><p>First full paragraph, with some words in it.</p><p>Second paragraph goes on for a while.</p></body></html>", "A title here First full paragraph, with some words in it. Second paragraph goes on for a while."),
+        ("<p>Only a paragraph.</p>", "Only a paragraph."),
+        ('<body><nav><a href=x>Home</a> <a href=y>News</a></nav><h1>Title of it</h1><p>First full paragraph, with words.</p><p>Second one.</p><footer>&copy; 2020 Us</footer>', "Title of it First full paragraph, with words. Second one."),
+        ('<div role=navigation><ul><li><a href=a>A</a><li><a href=b>B</a></ul></div><main id=m><h1>It\'s "so"</h1><p title=it\'s>Said, <i>quite</i> plainly.</p></main>', 'It\'s "so" Said, quite plainly.'),
+    ):
+        assert model.text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000, "<a " + "'\"" * 1000 + ">y", "<a " * 30_000, "<b>" * 30_000 + "t</b>" * 1000, "<p><foo>" * 5000 + "<div>" * 5000, "<head>" * 5000, "</x>" * 30_000, "<a x=\"'" * 5000, "<table><tr><td>" * 7000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.parse(page + "x")
+    assert time.process_time() - began < 5
+
+
 def test_messages_equal_enumeration():
     """Sum-product marginals of small trees against all states."""
     model = html_extract.Model(np.zeros(html_extract.WIDTH), 0.0, 0.3, {True: (0.2, 0.9), False: (0.1, 0.7)})
