@@ -34,8 +34,13 @@ def check_window(window: int) -> None:
 def raster(lines: DataFrame, segments: DataFrame, key: str, line: str = "line") -> DataFrame:
     """(key, line, value): the sum of the segments (start, end, value) that cover each line.
 
-    A segment is two signed events, summed by a running total, so its length costs nothing.
+    A segment is two signed events, summed by a running total, so its length costs nothing. One that lies outside its
+    function is an error.
     """
+    ends = lines.groupBy(key).agg(F.min(line).alias("first"), F.max(line).alias("last"))
+    error = clip_error(F.col("start"), F.col("end"), F.col("first"), F.col("last"))
+    checked = segments.select(key, "start", "end", "value").join(ends, key, "left")
+    segments = checked.withColumn("value", F.when(error.isNotNull(), F.raise_error(error).cast("double")).otherwise(F.col("value")))
     events = segments.select(key, F.col("start").alias(line), F.col("value").alias("d")).unionByName(segments.select(key, (F.col("end") + 1).alias(line), (-F.col("value")).alias("d")))
     at = events.groupBy(key, line).agg(F.sum("d").alias("d"))
     merged = lines.select(key, line, F.lit(True).alias("own"), F.lit(0.0).alias("d")).unionByName(at.select(key, line, F.lit(False).alias("own"), F.col("d").cast("double")))

@@ -42,16 +42,19 @@ def lcom4_components(spark, d):
 
 
 def _checkpoints(spark):
-    """Lineage is cut in the session's checkpoint folder; a local one where none is set."""
+    """Lineage is cut in the folder that the session names for it."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def type_disposition(spark, d):
-    m = O.type_metrics(_methods(spark, d), CC, LOC, reach=foreign_reach(spark, d))
-    return m.select("type", "wmc", "n_brain", "foreign_reach", O.type_disposition(F.col("wmc"), F.col("n_brain"), F.col("foreign_reach"), 120, 200, lcom_deny=8).alias("decision"))
+    """Customers are types and their orders methods, as for ``lcom4_components``."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("type"), F.col("o_orderkey").alias("method"), F.floor(F.col("o_totalprice") / 5000).alias("cc"), F.floor(F.col("o_totalprice") / 2000).alias("loc"))
+    m = O.type_metrics(o, CC, LOC, lcom4=lcom4_components(spark, d))
+    return m.select("type", "wmc", "n_brain", "lcom4", O.type_disposition(F.col("wmc"), F.col("n_brain"), F.col("lcom4"), 120, 1000, brain_deny=12, lcom_deny=12).alias("decision"))
 
 
 def _traits(spark, d):
@@ -70,12 +73,14 @@ def trait_disposition(spark, d):
 
 
 def cognitive_scores(spark, d):
-    """Events by user in order: clicks add the nesting depth (none is open), views are structural, the rest fundamental; small values are a macro's."""
-    e = read(spark, d, "events").select(F.col("user_id").alias("method"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("t"), (F.col("value") < 10).alias("from_expansion"))
-    kind = F.when(F.col("t") == "view", "structural").when(F.col("t") == "click", "nesting").otherwise("fundamental")
+    """Events by user in order: purchases open a level that ends with their eight events, clicks add the nesting depth, views are structural, the rest fundamental; small values are a macro's."""
     from pyspark.sql import Window
 
-    return O.cognitive(e.select("method", F.row_number().over(Window.partitionBy("method").orderBy("at")).alias("seq"), kind.alias("kind"), "from_expansion"))
+    mine = Window.partitionBy("method").orderBy("at")
+    e = read(spark, d, "events").select(F.col("user_id").alias("method"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("t"), (F.col("value") < 10).alias("from_expansion")).withColumn("seq", F.row_number().over(mine) - 1)
+    kind = F.when(F.col("t") == "purchase", "push").when(F.col("t") == "view", "structural").when(F.col("t") == "click", "nesting").otherwise("fundamental")
+    pops = e.filter("t = 'purchase'").select("method", (F.floor(F.col("seq") / 8) * 8 + 7.5).alias("seq"), F.lit("pop").alias("kind"), "from_expansion")
+    return O.cognitive(e.select("method", F.col("seq").cast("double"), kind.alias("kind"), "from_expansion").unionByName(pops))
 
 
 QUERIES = {f.__name__: f for f in (wmc_rollup, brain_methods, foreign_reach, lcom4_components, type_disposition, trait_metrics, trait_disposition, cognitive_scores)}
@@ -87,8 +92,6 @@ ORACLE = {
     "wmc_rollup": f"WITH {_M} SELECT type, sum(cc)::BIGINT AS wmc FROM m GROUP BY type",
     "brain_methods": f"WITH {_M} SELECT type, method, cc, loc FROM m WHERE cc >= {CC} AND loc >= {LOC}",
     "foreign_reach": f"WITH {_M} {_F}",
-    "type_disposition": f"""WITH {_M}, f AS ({_F}), x AS (SELECT type, sum(cc)::BIGINT AS wmc, count(*) FILTER (cc >= {CC} AND loc >= {LOC}) AS n_brain FROM m GROUP BY type)
-      SELECT type, wmc, n_brain, coalesce(foreign_reach, 0) AS foreign_reach, CASE WHEN wmc >= 200 OR n_brain >= 2 OR coalesce(foreign_reach, 0) >= 8 THEN 'deny' WHEN wmc >= 120 AND n_brain >= 1 AND coalesce(foreign_reach, 0) >= 2 THEN 'warn' ELSE 'pass' END AS decision FROM x LEFT JOIN f USING (type)""",
     "trait_metrics": f"WITH {_T} SELECT *, n_required AS burden FROM t",
     "trait_disposition": f"WITH {_T} SELECT trait, n_methods, default_cc, CASE WHEN n_methods >= 15 THEN 'deny' WHEN n_methods >= 10 AND default_cc >= 20 THEN 'warn' ELSE 'pass' END AS decision FROM t",
     "lcom4_components": """WITH RECURSIVE f AS (SELECT DISTINCT o_custkey AS t, o_orderkey AS m, l_partkey % 400 AS x FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
@@ -97,5 +100,9 @@ ORACLE = {
         UNION SELECT o.o_custkey, p.o_orderkey, o.o_orderkey FROM orders o JOIN orders p ON o.o_custkey = p.o_custkey AND o.o_orderkey <> p.o_orderkey AND o.o_totalprice > 400000 AND p.o_orderstatus || '-' || p.o_orderpriority = 'O-1-URGENT'),
       r(t, m, x) AS (SELECT o_custkey, o_orderkey, o_orderkey FROM orders UNION SELECT r.t, r.m, e.b FROM r JOIN e ON e.t = r.t AND e.a = r.x),
       c AS (SELECT t, m, min(x) AS root FROM r GROUP BY 1, 2) SELECT t AS type, count(DISTINCT root) AS lcom4 FROM c GROUP BY t""",
-    "cognitive_scores": "SELECT user_id AS method, count(*) FILTER (NOT value < 10 AND event_type <> 'click') AS score FROM events GROUP BY user_id",
+    "cognitive_scores": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+      x AS (SELECT *, coalesce(count(*) FILTER (event_type = 'purchase' AND NOT value < 10) OVER (PARTITION BY user_id, seq // 8 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM e)
+      SELECT user_id AS method, coalesce(sum(CASE event_type WHEN 'click' THEN depth WHEN 'purchase' THEN 0 ELSE 1 END) FILTER (NOT value < 10), 0)::BIGINT AS score FROM x GROUP BY user_id""",
 }
+ORACLE["type_disposition"] = f"""WITH x AS (SELECT o_custkey AS type, sum(floor(o_totalprice / 5000))::BIGINT AS wmc, count(*) FILTER (floor(o_totalprice / 5000) >= {CC} AND floor(o_totalprice / 2000) >= {LOC}) AS n_brain FROM orders GROUP BY 1)
+  SELECT type, wmc, n_brain, lcom4, CASE WHEN wmc >= 1000 OR n_brain >= 12 OR lcom4 >= 12 THEN 'deny' WHEN wmc >= 120 AND n_brain >= 1 AND lcom4 >= 2 THEN 'warn' ELSE 'pass' END AS decision FROM x JOIN ({ORACLE["lcom4_components"]}) USING (type)"""

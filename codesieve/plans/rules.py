@@ -77,7 +77,8 @@ def embedding_cosine(spark, d):
     e = e.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
     dot = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return pairs.select(F.col("a.vec_id").alias("left"), F.col("b.vec_id").alias("right"), F.round(dot / (F.col("a.n") * F.col("b.n")), 4).alias("cosine")).filter("cosine >= 0.35")
+    found = pairs.select(F.col("a.vec_id").alias("left"), F.col("b.vec_id").alias("right"), (dot / (F.col("a.n") * F.col("b.n"))).alias("cosine")).filter("cosine >= 0.35")
+    return found.withColumn("cosine", F.round("cosine", 4))  # compared as it is, rounded to be shown
 
 
 QUERIES = {f.__name__: f for f in (doc_examples, long_modules, misordered_first, call_sites, exclusions, harness_semi, install_rates, library_names, std_fs_sites, branch_phrases, embedding_cosine)}
@@ -100,5 +101,5 @@ ORACLE = {
     "std_fs_sites": "SELECT p_partkey, p_brand AS crate, 'app::m' || (p_size % 7) || '::f' AS path, 'std::fs::' || string_split(p_type, ' ')[1] AS label FROM part WHERE p_partkey % 3 = 0 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_size % 7 <> 3",
     "branch_phrases": """SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN CASE WHEN n = 1 THEN 'un gangen' WHEN n = 2 THEN 'dwy gangen' WHEN n = 3 THEN 'tair cangen' WHEN n = 6 THEN 'chwe changen' WHEN n IN (4, 5) THEN n || ' cangen' ELSE n || ' canghennau' END
       WHEN 1 THEN CASE WHEN n = 1 THEN '1 meur' ELSE n || ' meuran' END ELSE CASE WHEN n = 1 THEN '1 branch' ELSE n || ' branches' END END AS phrase FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)""",
-    "embedding_cosine": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS "left", b.vec_id AS "right", round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 4) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 4) >= 0.35""",
+    "embedding_cosine": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS "left", b.vec_id AS "right", round(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)), 4) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.35""",
 }

@@ -1,5 +1,7 @@
 """Golden values and invariants of the operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +206,21 @@ def test_ancestors(spark):
     n = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3)], "node long, parent long")
     got = {(r.node, r.ancestor, r.distance) for r in rules.enclosing(n).collect()}
     assert (4, 1, 3) in got and (3, 3, 0) in got and len(got) == 10
+
+
+@pytest.mark.parametrize("profile", ["T1", "T2"])
+def test_fingerprints_equal_windows(spark, profile):
+    """One pass within each text gives what the relational operators give."""
+    r = random.Random(4)
+    texts = ["", None, "fn", "fn f ( x )", "été _a1 १२ 3.14 😀 ǅ", *(" ".join(r.choice(["fn", "x", "y", "z1", "42", "(", "é"]) for _ in range(r.randint(1, 40))) for _ in range(25))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toks = tokens.tokens(df)
+    toks = tokens.canonical(toks) if profile == "T2" else toks
+    want = tokens.winnow(tokens.shingles(tokens.coded(toks), 3), 4)
+    got = tokens.fingerprints(df, 3, 4, profile)
+    key = lambda x: sorted((y.doc_id, y.pos, y.hash) for y in x.collect())
+    assert key(got) == key(want) and got.count() > 50
+    with pytest.raises(ValueError):
+        tokens.fingerprints(df, 0, 4)
+    with pytest.raises(ValueError):
+        tokens.fingerprints(df, 3, 4, "T3")
