@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 
+#: Name of the constant that marks a generated test module, and attribute paths; fixed values.
+HARNESS_DESCRIPTOR = "RSTEST_HARNESS_DESCRIPTOR"
+TEST_MARKERS = ("rstest", "rstest::rstest")
+FIXTURE_MARKERS = ("fixture", "rstest::fixture")
+
 
 def enclosing(nodes: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 64) -> DataFrame:
     """(node, ancestor, distance) by doubling paths; a node is its own ancestor at distance 0."""
@@ -24,7 +29,7 @@ def enclosing(nodes: DataFrame, node: str = "node", parent: str = "parent", roun
 
 def context(sites: DataFrame, ancestors: DataFrame, items: DataFrame) -> DataFrame:
     """Sites with ``in_test`` and ``in_main``: whether an enclosing item has a test attribute, or is ``main``. ``items``: node, name, attributes (array of paths)."""
-    flags = items.select(F.col("node").alias("ancestor"), F.exists("attributes", X.is_test_attribute).alias("t"), (F.col("name") == "main").alias("m"))
+    flags = items.select(F.col("node").alias("ancestor"), F.exists("attributes", lambda a: X.is_test_attribute(a)).alias("t"), (F.col("name") == "main").alias("m"))
     found = ancestors.join(flags, "ancestor").groupBy("node").agg(F.bool_or("t").alias("in_test"), F.bool_or("m").alias("in_main"))
     return sites.join(found, "node", "left").fillna(False, ["in_test", "in_main"])
 
@@ -120,17 +125,85 @@ def harness_functions(functions: DataFrame, constants: DataFrame) -> DataFrame:
 
 
 def companions(items: DataFrame) -> DataFrame:
-    """Functions with a module of the same parent and name that holds a harness descriptor next to it. ``items``: id, parent, name, kind, ordinal, descriptor."""
-    order = Window.partitionBy("parent").orderBy("ordinal")
-    near = items.withColumn("_near", F.coalesce(F.lag("descriptor").over(order), F.lit(False)) | F.coalesce(F.lead("descriptor").over(order), F.lit(False)))
-    inside = near.filter("kind = 'fn' and _near").select(F.col("parent").alias("module")).distinct()
-    modules = items.filter("kind = 'mod'").join(inside, F.col("id") == F.col("module"), "left_semi").select("parent", "name")
-    return items.filter("kind = 'fn'").join(modules, ["parent", "name"], "left_semi")
+    """``id`` of functions that have a test attribute or, in the same module, a qualifying module of their name.
+
+    ``items``: id, parent (null at the top), name, kind (fn, mod, const, extern_crate), ordinal, lo, hi, from_expansion, is_test;
+    modules of any depth are rows, so each level is matched alike. A module qualifies if it holds a constant named
+    HARNESS_DESCRIPTOR, or if it comes from a macro and holds a function and a constant of one name that share a span, or
+    stand next to each other where the module imports the test crate.
+    """
+    fns, consts = items.filter("kind = 'fn'"), items.filter("kind = 'const'")
+    marker = consts.filter(F.col("name") == HARNESS_DESCRIPTOR).select("parent")
+    imports = items.filter("kind = 'extern_crate' and name = 'test'").select(F.col("parent").alias("_p")).distinct()
+    c = consts.join(imports, F.col("parent") == F.col("_p"), "left").select("parent", "name", F.col("ordinal").alias("_ordinal"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("_p").isNotNull().alias("_imports"))
+    near = ((F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))) | (F.col("_imports") & (F.abs(F.col("ordinal") - F.col("_ordinal")) == 1))
+    paired = fns.join(c, ["parent", "name"]).filter(near).select("parent")
+    modules = items.filter("kind = 'mod'")
+    good = modules.join(marker.select(F.col("parent").alias("id")), "id", "left_semi").unionByName(modules.filter("from_expansion").join(paired.select(F.col("parent").alias("id")), "id", "left_semi"))
+    m = good.select(F.col("parent").alias("_parent"), F.col("name").alias("_name")).distinct()
+    beside = fns.join(m, F.col("parent").eqNullSafe(F.col("_parent")) & (F.col("name") == F.col("_name")), "left_semi")
+    return beside.select("id").unionByName(fns.filter("is_test").select("id")).distinct()
+
+
+def expect_violations(sites: DataFrame, ancestors: DataFrame, items: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """Sites (node, method, receiver, doctest, path) of ``expect`` outside of tests; ``marked``: ids of functions that the harness marks."""
+    s = context(sites, ancestors, items)
+    if marked is not None:
+        inside = ancestors.join(marked.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
+        s = s.join(inside, "node", "left_anti")
+    return s.filter(expect_is_flagged(F.col("method"), F.col("receiver"), F.col("in_test"), F.col("doctest"), F.col("path")))
+
+
+def panic_violations(sites: DataFrame, ancestors: DataFrame, items: DataFrame, calls: DataFrame, allow_in_main: bool = False) -> DataFrame:
+    """Closures (node, doctest) of ``unwrap_or_else`` that panic against the policy; ``calls`` as for ``closure_panics``."""
+    s = context(sites, ancestors, items).join(closure_panics(ancestors, calls), "node")
+    return s.filter(panic_is_flagged(F.col("panics"), F.col("doctest"), F.col("in_test"), F.col("interpolated_only"), F.col("in_main"), allow_in_main))
+
+
+def split_attributes(attributes: Column) -> Column:
+    """struct(docs, rest) of an array of (path, inner)."""
+    is_doc = lambda a: X.path_is(a["path"], "doc")
+    return F.struct(F.filter(attributes, is_doc).alias("docs"), F.filter(attributes, lambda a: ~is_doc(a)).alias("rest"))
+
+
+def outer_attributes(attributes: Column) -> Column:
+    return F.filter(attributes, lambda a: ~a["inner"])
+
+
+def has_marker(attributes: Column, candidates: tuple[str, ...], trace: Column | None = None) -> Column:
+    """Whether an attribute's path is a candidate or, where a trace (array of paths) is given, one of the trace's is."""
+    found = F.exists(attributes, lambda a: X.path_is(a["path"], *candidates))
+    return found if trace is None else found | F.coalesce(F.exists(trace, lambda p: X.path_is(p, *candidates)), F.lit(False))
+
+
+def argument_atom(kind: Column, name: Column, editable: Column, locals_: Column) -> Column:
+    """struct(tag, value) of an argument: a fixture's local, a constant's path, a literal; all else stays as ``unsupported``."""
+    atom = lambda tag, value: F.struct(F.lit(tag).alias("tag"), value.alias("value"))
+    plain = (kind == "local") & F.array_contains(locals_, name)
+    taken = F.when(plain, atom("fixture_local", name)).when(kind == "const", atom("const", name)).when(kind == "literal", atom("literal", name))
+    return F.coalesce(F.when(editable, taken), atom("unsupported", F.lit(None).cast("string")))
+
+
+def recovered_span(frames: Column, enclosing_frames: Column) -> Column:
+    """The span that a user can edit: the call's own or that of the innermost enclosing closure that has one; null without any."""
+    fallback = F.filter(F.transform(F.reverse(enclosing_frames), lambda x: editable_span(x)["span"]), lambda x: x.isNotNull())
+    return F.coalesce(editable_span(frames)["span"], F.get(fallback, F.lit(0)))
+
+
+def local_slots(names: DataFrame, paragraph: str, order: str, name: str) -> DataFrame:
+    """(paragraph, name, slot): numbers of a paragraph's locals by first appearance, from 0."""
+    first = names.groupBy(paragraph, name).agg(F.min(order).alias("_first"))
+    return first.select(paragraph, name, (F.row_number().over(Window.partitionBy(paragraph).orderBy("_first", name)) - 1).alias("slot"))
+
+
+def ordered_prefixes(prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """Path prefixes by their segments, so that a module comes before what lies in it."""
+    return prefixes.orderBy(X.segments(F.col(prefix)))
 
 
 #: Rule name to what it reports.
 REGISTRY: dict[str, Callable] = {
-    "no_expect_outside_tests": expect_is_flagged, "no_unwrap_or_else_panic": panic_is_flagged, "no_std_fs_operations": std_fs_sites,
+    "no_expect_outside_tests": expect_violations, "no_unwrap_or_else_panic": panic_violations, "no_std_fs_operations": std_fs_sites,
     "function_attrs_follow_docs": misordered, "test_must_not_have_example": X.example_violation, "module_must_have_inner_docs": leading_content,
     "module_max_lines": long_modules, "conditional_max_n_branches": over_branched, "rstest_helper_should_be_fixture": call_sites,
 }

@@ -78,7 +78,18 @@ def bumpy(found: DataFrame, key: str, least: int = 2) -> DataFrame:
     return found.groupBy(key).agg(F.count(F.lit(1)).alias("n_bumps"), F.max("area").alias("largest")).filter(F.col("n_bumps") >= least)
 
 
-def segment_value(kind, depth, branches, s: Settings = Settings()):
-    """Value of a segment by its statement: nesting depth, predicate branches beyond one, flow statements."""
-    predicate = F.greatest(branches - 1, F.lit(0)) * s.predicate_weight
-    return depth * s.depth_weight + F.when(kind.isin("if", "while", "guard"), predicate).otherwise(0.0) + F.when(kind.isin("loop", "while", "match_arm"), s.flow_weight).otherwise(0.0)
+def segments(statements: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(fn, start, end, value) of the statements' segments.
+
+    ``statements``: fn, kind (if, while, loop, match_arm), from_expansion, test_start, test_end, test_is_let, branches (of the
+    condition or guard; null without one), body_start, body_end, else_start, else_end (null without an else). A condition
+    counts its branches unless it is a ``let``; bodies and else arms deepen, arms of a match are flow too; macros give nothing.
+    """
+    at = lambda a, b, v: F.struct(F.col(a).alias("start"), F.col(b).alias("end"), v.cast("double").alias("value"))
+    kind = F.col("kind")
+    predicate = F.when(kind.isin("if", "while", "match_arm") & F.col("branches").isNotNull() & ~F.coalesce("test_is_let", F.lit(False)), at("test_start", "test_end", F.col("branches") * s.predicate_weight))
+    depth = at("body_start", "body_end", F.lit(s.depth_weight))
+    other = F.when((kind == "if") & F.col("else_start").isNotNull(), at("else_start", "else_end", F.lit(s.depth_weight)))
+    flow = F.when(kind == "match_arm", at("body_start", "body_end", F.lit(s.flow_weight)))
+    own = statements.filter(~F.col("from_expansion") & kind.isin("if", "while", "loop", "match_arm"))
+    return own.select("fn", F.explode(F.array_compact(F.array(predicate, depth, other, flow))).alias("x")).select("fn", "x.*")

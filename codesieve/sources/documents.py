@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
+import os
+import time
 import tomllib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -93,19 +96,38 @@ def append_summary(call_sites: DataFrame, path: str) -> None:
     call_sites.select(F.concat_ws("\t", "callee", F.col("n_calls").cast("string"), F.array_join("shapes", ";"))).write.mode("append").text(path)
 
 
-def record_metrics(path: str, update: dict) -> tuple[dict, bool]:
-    """Add counters to a small JSON file; (totals, whether a broken file was started anew)."""
-    reset = False
-    try:
-        with open(path) as f:
-            old = json.load(f)
-        if not isinstance(old, dict):
-            raise ValueError
-    except FileNotFoundError:
-        old = {}
-    except ValueError:
-        old, reset = {}, True
-    new = {k: int(old.get(k, 0)) + int(update.get(k, 0)) for k in {*old, *update}}
-    with open(path, "w") as f:
-        json.dump(new, f, sort_keys=True)
+def record_metrics(path: str, update: dict, patience: float = 10.0) -> tuple[dict, bool]:
+    """Add counters to a small JSON file; (totals, whether a broken file was started anew).
+
+    Writers take turns by a lock on ``<path>.lock`` and give up with TimeoutError after ``patience`` seconds; the file is replaced
+    in one step, so readers see the old or the new totals. For a local path of the driver, as the counters are its own.
+    """
+    with open(f"{path}.lock", "a") as lock:
+        _locked(lock, patience)
+        old, reset = {}, False
+        try:
+            with open(path) as f:
+                old = json.load(f)
+            if not isinstance(old, dict):
+                raise ValueError
+        except FileNotFoundError:
+            pass
+        except ValueError:
+            old, reset = {}, True
+        new = {k: int(old.get(k, 0)) + int(update.get(k, 0)) for k in {*old, *update}}
+        with open(f"{path}.new", "w") as f:
+            json.dump(new, f, sort_keys=True)
+        os.replace(f"{path}.new", path)
     return new, reset
+
+
+def _locked(lock, patience: float) -> None:
+    """Wait for the lock; it goes with the file's closing."""
+    end = time.monotonic() + patience
+    while True:
+        try:
+            return fcntl.flock(lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            if time.monotonic() > end:
+                raise TimeoutError(f"{lock.name} is held by another writer") from None
+            time.sleep(0.02)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesieve.functions import text as X, u64
-from codesieve.operators import advice, cohesion, findings, lexer, pairs, rules, signal, sketch, tokens, trees
+from codesieve.operators import advice, cohesion, diagnostics, findings, lexer, pairs, rules, signal, sketch, tokens, trees
 from codesieve.plans import trees as plans_trees
 from codesieve.session import wrapping
 from codesieve.sources import documents as sources
@@ -224,3 +224,96 @@ def test_fingerprints_equal_windows(spark, profile):
         tokens.fingerprints(df, 0, 4)
     with pytest.raises(ValueError):
         tokens.fingerprints(df, 3, 4, "T3")
+
+
+def test_metrics_of_many_writers(tmp_path):
+    """No update is lost, and a held lock is waited for in vain only for so long."""
+    import fcntl
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "m.json")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: sources.record_metrics(path, {"n": 1, f"k{i % 3}": 2}), range(60)))
+    assert sources.record_metrics(path, {}) == ({"n": 60, "k0": 40, "k1": 40, "k2": 40}, False)
+    with open(f"{path}.lock", "a") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        with pytest.raises(TimeoutError):
+            sources.record_metrics(path, {"n": 1}, patience=0.1)
+
+
+def test_diagnostic_texts(spark):
+    rows = [("Foo", 25, 1, 0, []), ("Foo", 118, 3, 0, [("parse", 31, 140)]), ("Foo", 118, 3, 5, [("parse", 31, 140), ("emit", 30, 90)])]
+    df = spark.createDataFrame(rows, "name string, wmc int, lcom4 int, reach int, brain array<struct<name:string,cc:int,loc:int>>")
+    c = F.col
+    got = [r[0] for r in df.select(diagnostics.type_message(c("name"), c("wmc"), c("lcom4"), c("reach"), c("brain"))).collect()]
+    assert got == [
+        "`Foo` has WMC=25 and LCOM4=1.",
+        "`Foo` has WMC=118, LCOM4=3, and a brain method `parse` (CC=31, LOC=140).",
+        "`Foo` has WMC=118, LCOM4=3, foreign reach=5, and 2 brain methods: `parse` (CC=31, LOC=140), `emit` (CC=30, LOC=90).",
+    ]
+    helps = [r[0] for r in df.select(diagnostics.type_help(c("lcom4"), c("reach"), F.size("brain"))).collect()]
+    assert helps[0] == diagnostics.TYPE_ADVICE and helps[2] == "Consider " + ", ".join(diagnostics.TYPE_HELP) + "."
+    t = spark.createDataFrame([("Parser", 25, 15, 10, 40), ("Bare", 0, 0, 0, 0)], "name string, total int, required int, default int, cc int")
+    got = [r[0] for r in t.select(diagnostics.trait_message(c("name"), c("total"), c("required"), c("default"), c("cc"))).collect()]
+    assert got == ["`Parser` has 25 methods (15 required, 10 default) with default method complexity CC=40.", "`Bare` has 0 methods (0 required, 0 default)."]
+    assert [r[0] for r in t.select(diagnostics.trait_help(c("total"), c("required"), c("cc"))).collect()][1] == diagnostics.TRAIT_ADVICE
+
+
+def test_messages_and_order(spark):
+    text = "struct<primary:string,note:string,help:string>"
+    rows = spark.createDataFrame([("cy", "a", ("p", "⁨n⁩", "h")), ("cy", "b", ("p", "n", "h")), (None, "a", ("p", "n", "h"))], f"locale string, key string, fallback {text}")
+    cat = spark.createDataFrame([("cy", "a", "P", None, "H"), ("cy", "b", "⁨P⁩!", "N", "H")], "locale string, key string, primary string, note string, help string")
+    got = {(r.locale, r.key): (tuple(r.message), r.localized) for r in diagnostics.resolved(rows, cat).collect()}
+    assert got == {("cy", "a"): (("p", "n", "h"), False), ("cy", "b"): (("P!", "N", "H"), True), (None, "a"): (("p", "n", "h"), False)}
+    f = spark.createDataFrame([("B", None, "x"), ("A", "f", "y"), ("A", None, "z"), ("A", "f", "x")], "rule_id string, fragment string, message string")
+    assert [tuple(r) for r in diagnostics.in_order(f).collect()] == [("A", None, "z"), ("A", "f", "x"), ("A", "f", "y"), ("B", None, "x")]
+    p = spark.createDataFrame([("a::b::c",), ("a::b-x",), ("a::b",), ("a",)], "prefix string")
+    assert [r.prefix for r in rules.ordered_prefixes(p).collect()] == ["a", "a::b", "a::b::c", "a::b-x"]
+    inv = spark.createDataFrame([("t", "b"), ("t", "a")], "toolchain string, crate string")
+    assert [tuple(r) for r in diagnostics.merged_inventory(inv, inv.filter("crate = 'b'")).collect()] == [("t", "a"), ("t", "b"), ("t", "b")]
+
+
+ITEMS = "id string, parent string, name string, kind string, ordinal int, lo int, hi int, from_expansion boolean, is_test boolean"
+
+
+@pytest.mark.parametrize("inner,generated,want", [
+    ([("const", rules.HARNESS_DESCRIPTOR, 0, 1, 2)], False, True),
+    ([("fn", "t", 0, 1, 2), ("const", "t", 5, 1, 2)], True, True),
+    ([("fn", "t", 0, 1, 2), ("const", "t", 5, 1, 2)], False, False),
+    ([("fn", "t", 0, 1, 2), ("const", "t", 1, 3, 4)], True, False),
+    ([("fn", "t", 0, 1, 2), ("const", "t", 1, 3, 4), ("extern_crate", "test", 9, 0, 0)], True, True),
+    ([("fn", "t", 0, 1, 2), ("const", "t", 2, 3, 4), ("extern_crate", "test", 9, 0, 0)], True, False),
+    ([("fn", "t", 0, 1, 2), ("const", "u", 1, 1, 2)], True, False),
+    ([], True, False),
+])
+@pytest.mark.parametrize("parent", [None, "outer"])
+def test_companions(spark, inner, generated, want, parent):
+    rows = [("f", parent, "case", "fn", 0, 9, 9, False, False), ("m", parent, "case", "mod", 1, 9, 9, generated, False), ("g", parent, "other", "fn", 2, 9, 9, False, False), ("h", "far", "case", "fn", 0, 0, 0, False, True)]
+    rows += [(f"i{n}", "m", name, kind, o, lo, hi, False, False) for n, (kind, name, o, lo, hi) in enumerate(inner)]
+    assert {r.id for r in rules.companions(spark.createDataFrame(rows, ITEMS)).collect()} == ({"f", "h"} if want else {"h"})
+
+
+def test_statement_segments(spark):
+    """Conditions, bodies, else arms and match arms; a let condition and macros give no predicate."""
+    cols = "fn int, kind string, from_expansion boolean, test_start int, test_end int, test_is_let boolean, branches int, body_start int, body_end int, else_start int, else_end int"
+    rows = [(1, "if", False, 1, 1, False, 3, 2, 3, 4, 6), (2, "if", False, 1, 1, True, 1, 2, 3, None, None), (3, "match_arm", False, None, None, None, None, 2, 3, None, None), (4, "while", True, 1, 1, False, 2, 2, 3, None, None), (5, "loop", False, None, None, None, None, 7, 8, None, None)]
+    got = sorted(tuple(r) for r in signal.segments(spark.createDataFrame(rows, cols)).collect())
+    assert got == [(1, 1, 1, 1.5), (1, 2, 3, 1.0), (1, 4, 6, 1.0), (2, 2, 3, 1.0), (3, 2, 3, 0.5), (3, 2, 3, 1.0), (5, 7, 8, 1.0)]
+
+
+def test_arguments_spans_and_slots(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    atom = lambda kind, name, ok: tuple(one(rules.argument_atom(F.lit(kind), F.lit(name), F.lit(ok), F.array(F.lit("db")))))
+    assert atom("local", "db", True) == ("fixture_local", "db") and atom("local", "x", True) == ("unsupported", None) and atom("const", "a::B", True) == ("const", "a::B")
+    assert atom("literal", "1", False) == ("unsupported", None) and atom("call", "f", True) == ("unsupported", None)
+    frame = lambda s, m: F.struct(F.lit(s).alias("span"), F.lit(m).alias("from_expansion"))
+    outer = F.array(F.array(frame("out", False)), F.array(frame("in", False)), F.array(frame("macro", True)))
+    assert one(rules.recovered_span(F.array(frame("c", True)), outer)) == "in" and one(rules.recovered_span(F.array(frame("c", False)), outer)) == "c"
+    assert one(rules.recovered_span(F.array(frame("c", True)), F.array(F.array(frame("m", True))))) is None
+    names = spark.createDataFrame([(1, 0, "user"), (1, 1, "cache"), (1, 2, "user"), (2, 0, "cache")], "p int, at int, name string")
+    assert {tuple(r) for r in rules.local_slots(names, "p", "at", "name").collect()} == {(1, "user", 0), (1, "cache", 1), (2, "cache", 0)}
+    e = spark.createDataFrame([("s", "a", "b", 5), ("s", "a", "c", 1)], "subject string, a string, b string, dot long")
+    lab = spark.createDataFrame([("s", "a", "x"), ("s", "b", "x"), ("s", "c", "y")], "subject string, method string, community string")
+    assert [tuple(r) for r in advice.unstable(e, lab).collect()] == [("s", "c", "y", "x")]
+    err = lambda *v: one(advice.edge_error(*(F.lit(x) for x in v)))
+    assert [err(1, 1, 1, 3), err(0, 3, 0, 3), err(0, 1, 0, 3), err(0, 1, 2, 3)] == ["NonCanonicalEdge", "EndpointOutOfRange", "ZeroWeight", None]
