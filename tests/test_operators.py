@@ -317,3 +317,19 @@ def test_arguments_spans_and_slots(spark):
     assert [tuple(r) for r in advice.unstable(e, lab).collect()] == [("s", "c", "y", "x")]
     err = lambda *v: one(advice.edge_error(*(F.lit(x) for x in v)))
     assert [err(1, 1, 1, 3), err(0, 3, 0, 3), err(0, 1, 0, 3), err(0, 1, 2, 3)] == ["NonCanonicalEdge", "EndpointOutOfRange", "ZeroWeight", None]
+
+
+def test_run_emission(spark):
+    """Byte ranges of tokens; messages, fingerprints and order of findings, each pair once."""
+    import hashlib
+
+    df = spark.createDataFrame([(1, "fn a(x) {\n  y }", 1), (2, "é a b c", 1), (3, "a b", 1), (4, None, 0), (5, "a b c", None)], "doc_id long, text string, first long")
+    assert {r.doc_id: (r.start, r.end) for r in tokens.token_ranges(df, 3).collect()} == {1: (3, 6), 2: (3, 8), 3: (None, None), 4: (None, None), 5: (None, None)}
+    t = spark.createDataFrame([(2, 1, "T2", "CLONE002"), (1, 2, "T1", "CLONE001"), (1, 2, "T1", "CLONE001")], "left long, right long, profile string, rule_id string")
+    region = findings.region(F.lit("x\na b c"), F.lit(2), F.lit(5))
+    hashes = pairs.token_hash(pairs.both_hashes(F.array(F.lit(-1), F.lit(5)).cast("array<long>"), F.array(F.lit(5), F.lit(7)).cast("array<long>")))
+    rows = t.select("*", F.lit("0.950000").alias("score"), hashes.alias("token_hash"), *(F.concat(F.lit("d/"), F.col(c).cast("string")).alias(f"{s}_uri") for s, c in (("l", "left"), ("r", "right"))), region.alias("l_region"), region.alias("r_region"))
+    got = findings.emitted(rows, 3, 4).collect()
+    assert [r.message for r in got] == ["Type-1 clone: d/1:2:1-2:3 <-> d/2:2:1-2:3 (sim = 0.950000)", "Type-2 clone: d/2:2:1-2:3 <-> d/1:2:1-2:3 (sim = 0.950000)"]
+    assert got[0].fragment == hashlib.sha256(b"1\x002\x00T1").hexdigest() and got[0].related_message == "Peer clone fragment: 2" and got[0].properties.jaccard == 0.95
+    assert {r.token_hash for r in got} == {hashlib.sha256(b"".join(x.to_bytes(8, "big") for x in (5, 7, 2**64 - 1))).hexdigest()}
