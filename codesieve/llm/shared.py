@@ -79,7 +79,7 @@ def written(uri: str):
     """An open file to write in a folder of the shared one; no other attempt may write under this name."""
     store, path = open_store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:  # as it is, whatever the name ends with
         yield out
 
 
