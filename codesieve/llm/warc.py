@@ -205,7 +205,8 @@ class _Members:
                 self.out.clear()
         except _Damaged:
             while True:
-                at = self.raw.find(b"\x1f\x8b\x08")
+                # not the damaged member again
+                at = self.raw.find(b"\x1f\x8b\x08", self.ahead - len(self.raw) == self.start)
                 if at >= 0:
                     self.raw = self.raw[at:]
                     return
