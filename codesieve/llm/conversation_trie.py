@@ -196,8 +196,8 @@ def nodes(found: DataFrame, bucket: int = BUCKET, most_turns: int = MOST_TURNS)
         if big.isEmpty():
             break
         # equal beginnings of the least and the greatest path are those of all between
-        common = F.aggregate(F.sequence(F.lit(1), F.least(F.length("low.path"), F.length("high")) / WIDTH), F.lit(0).cast("long"),
-                             lambda acc, i: F.when((acc == i - 1) & (F.substr("low.path", ((i - 1) * WIDTH + 1).cast("int"), F.lit(WIDTH)) == F.substr("high", ((i - 1) * WIDTH + 1).cast("int"), F.lit(WIDTH))), i.cast("long")).otherwise(acc))
+        common = F.aggregate(F.sequence(F.lit(1), (F.least(F.length("low.path"), F.length("high")) / WIDTH).cast("int")), F.lit(0).cast("long"),
+                             lambda acc, i: F.when((acc == i - 1) & (F.substr("low.path", (i - 1) * WIDTH + 1, F.lit(WIDTH)) == F.substr("high", (i - 1) * WIDTH + 1, F.lit(WIDTH))), i.cast("long")).otherwise(acc))
         groups = shared.staged(big.withColumn("common", common).select("part", "n", "least", "under", "depth", "parent", "common", F.col("low.counts").alias("counts")), "oversized")
         split = rows.drop("under", "depth", "parent").join(groups.select("part", F.col("common").alias("depth"), F.col("least").alias("parent")), "part")
         ending = shared.staged(split.filter("turns = depth").select("part", "ends"), "ending")
