@@ -6,8 +6,10 @@ passage. Exact piece hits come from rolling word hashes; each is verified by Mye
 distance of the whole item against the words around it. Words are compared without case and without
 marks that aren't letters or digits.
 
-Items are taken in blocks of about ``BLOCK_CHARS`` characters, and each block's index goes over all
-documents once: a block's broadcast is bounded, and a larger benchmark costs more passes.
+Items are taken in blocks of about ``BLOCK_CHARS`` characters, one after the other: a block's index is
+broadcast, goes over all documents in a pass of its own whose findings are written, and is destroyed before
+the next one is read. So memory is that of one block, and a larger benchmark costs more passes. Items of
+equal words are looked for once.
 
 An item of fewer than ``ERROR_SHARE`` words has no budget and matches where it stands word for word, a one-word item
 wherever its word does: leave items out that are too short to tell anything.
@@ -92,8 +94,12 @@ class Index:
     """Piece hashes of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, keys(t)) for i, t in dict.fromkeys((i, t or "") for i, t in items)]
-        self.items = [(i, w) for i, w in self.items if len(w)]
+        ids: dict[bytes, dict] = {}  # of items of equal words
+        for i, t in items:
+            w = keys(t or "")
+            if len(w):
+                ids.setdefault(w.tobytes(), {})[i] = None
+        self.items = [(list(i), np.frombuffer(w, np.uint64)) for w, i in ids.items()]
         places: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, (_, w) in enumerate(self.items):
             for a, b in pieces(len(w)):
@@ -109,6 +115,9 @@ class Index:
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """Item to (distance, item's words, end), for the items that the text holds."""
+        return {i: hit for k, hit in self._hits(text).items() for i in self.items[k][0]}
+
+    def _hits(self, text: str) -> dict[int, tuple[int, int, int]]:
         words = keys(text)
         out: dict[int, tuple[int, int, int]] = {}
         if not self.sizes or len(words) < self.sizes[0]:
@@ -121,7 +130,7 @@ class Index:
             at = np.flatnonzero(self.filters[n][x >> np.uint64(64 - FILTER_BITS)])
             for p, h in zip(at.tolist(), x[at].tolist()):
                 for k, a in self.places[n].get(h, ()):
-                    item, pattern = self.items[k]
+                    pattern = self.items[k][1]
                     e, m = budget(len(pattern)), len(pattern)
                     if (k, p - a) in tried:
                         continue
@@ -130,8 +139,8 @@ class Index:
                         listed = words.tolist()
                     first = max(0, p - a - e)
                     hit = myers(pattern.tolist(), listed[first : p - a + m + e], e)
-                    if hit and (item not in out or hit[0] < out[item][0]):
-                        out[item] = (hit[0], m, first + hit[1])
+                    if hit and (k not in out or hit[0] < out[k][0]):
+                        out[k] = (hit[0], m, first + hit[1])
         return out
 
 
@@ -144,41 +153,69 @@ def _rolled(words: np.ndarray, n: int, x: np.ndarray | None = None, done: int =
     return x
 
 
-def _indexes(benchmark: DataFrame):
-    """Broadcast indexes of the blocks."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
+    """The items (item_id, text) in blocks; equal texts are in one."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_CHARS))
-    for k in range(n):
-        block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in block.collect()]))
+    n = max(1, -(-total // block_chars))
+    return [rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item it holds: doc_id, item_id, distance, item_words, end_word."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _index(block: DataFrame):
+    return block.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in block.collect()]))
+
+
+def _passes(blocks: list[DataFrame], search):
+    """``search`` with each block's index; of several blocks each result is written before the next index is made."""
+    if len(blocks) == 1:
+        return search(_index(blocks[0]))
     out = None
-    for index in _indexes(benchmark):
+    for block in blocks:
+        index = _index(block)
+        part = shared.staged(search(index), "contaminated")
+        index.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document and item it holds: doc_id, item_id, distance, item_words, end_word."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
 
-        def run(batches, index=index):
+    def search(index):
+        def run(batches):
             for b in shared.slices(batches, "text"):
                 rows = []
                 for doc, t in zip(b.column("doc_id").to_pylist(), shared.texts(b.column("text"))):
                     rows += [(doc, item, *hit) for item, hit in index.value.find(t).items()]
                 yield shared.batch_of(_FOUND, dict(zip(_FOUND.names, zip(*rows))) if rows else {c: [] for c in _FOUND.names})
 
-        part = shared.in_arrow(docs, run, FOUND)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return shared.in_arrow(docs, run, FOUND)
+
+    return _passes(_blocks(benchmark, block_chars), search)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, whole rows, without a shuffle."""
-    for index in _indexes(benchmark):
+def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no item, whole rows. One block filters them on the way; of several each names the hashes of the texts that go."""
+    blocks = _blocks(benchmark, block_chars)
+    if len(blocks) == 1:
+        index = _index(blocks[0])
 
-        def run(batches, index=index):
+        def keep(batches):
             for b in shared.slices(batches, "text"):
                 yield b.filter(pa.array([not index.value.find(t) for t in shared.texts(b.column("text"))], pa.bool_()))
 
-        docs = shared.in_arrow(docs, run, docs.schema)
-    return docs
+        return shared.in_arrow(docs, keep, docs.schema)
+    digest = F.sha2(docs["text"].cast("string").cast("binary"), 256).alias("digest")
+
+    def search(index):
+        def run(batches):
+            for b in shared.slices(batches, "text"):
+                hit = [bool(index.value.find(t)) for t in shared.texts(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("digest").filter(pa.array(hit, pa.bool_()))], names=["digest"])
+
+        return shared.in_arrow(docs.select(digest, docs["text"].cast("string").alias("text")), run, "digest string").distinct()
+
+    found = shared.staged(_passes(blocks, search).distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), digest)
+    return rows.join(found, "digest", "left_anti").select("row.*")

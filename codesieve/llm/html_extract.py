@@ -5,8 +5,9 @@ logistic model over its tag, class and id words, link share, length and punctuat
 is the probability of a child's state given its parent's, by the kind of child (element or block). Sum-
 product messages go upward from the leaves and downward from the root, and a block is main text where its
 marginal is at least one half. Both parts are trained from labelled pages: ``labelled_pages`` writes pages
-of many layouts (semantic elements or plain divisions, with menus, notices, adverts, forms, comments)
-whose content is known. Training is deterministic and takes a second on the driver.
+of many layouts (semantic elements or plain divisions, with menus, notices, adverts, forms, comments beside
+and within the main part, linked sources, pages of one block) whose content is known. Training is
+deterministic, takes a few seconds on the driver and is done once in a process.
 
 What isn't text never becomes a node: scripts, styles, templates, comments, the head, form controls.
 Character references are decoded, white space in a block is one blank, blocks join by a blank.
@@ -23,6 +24,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shared
 
-WIDTH = 512
-PAGES = 600
+#: Places of hashed evidence; few enough words are trained that no two of them meet.
+WIDTH = 1 << 14
+PAGES = 800
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 #: HTML elements by kind, fixed values of the standard.
@@ -203,7 +206,7 @@ def features(n: Node) -> list[tuple[int, float]]:
     share = n.link_chars / n.chars if n.chars else 0.0
     out = [(0, 1.0), (1, share)]
     if n.text is not None:
-        out += [(3, 1.0), (slot("under:" + n.parent.tag), 1.0), (4, float(n.text[-1] in ".!?…\"”'»")), (5, min(1.0, n.text.count(",") / 5)), (2, min(6.0, float(np.log1p(n.chars))) / 6)]
+        out += [(3, 1.0), (slot("under:" + n.parent.tag), 1.0), (4, float(n.text[-1] in ".!?…\"”'»")), (5, min(1.0, n.text.count(",") / 5)), (2, min(6.0, float(np.log1p(n.chars))) / 6), (8, n.of_page), (10, float(n.of_page > 0.9))]
         if n.text.startswith(("©", "Copyright", "(c)")):
             out.append((7, 1.0))
     else:
@@ -235,7 +238,7 @@ class Model:
             near_root = n.parent is None or n.parent.parent is None or (n.text is not None and n.parent.parent.parent is None and len(n.parent.children) == 1)
             if (n.text is not None or n.tag in BLOCKS) and not near_root:  # nothing speaks through the root
                 t = n.text if n.text is not None else n.children[0].text if len(n.children) == 1 else None
-                z *= self.share / same.get(t, 1)  # repeats vote once, and neighbouring blocks say much the same: each has a share of a vote
+                z *= (self.share if n.text is not None else min(1.0, 2 * self.share)) / same.get(t, 1)  # repeats vote once, and neighbouring blocks say much the same: each has a share of a vote
             lift.append(float(np.exp(max(-12.0, min(12.0, z)))))
         up = [(1.0, 1.0)] * k  # message to the parent, for its states (not, content)
         own = [(1.0, float(x)) for x in lift]  # evidence times the children's messages
@@ -324,6 +327,15 @@ def labelled_pages(count: int = PAGES, seed: int = 5) -> list[list[Node]]:
             i = body.find(" ", len(body) // 2)
             body = body[:i] + f' <a href="/y">{words(1, 3)}</a>' + body[i:] if i > 0 else body
         kind = r.random()
+        if r.random() < 0.15:  # links are text as well where an article has them
+            odd = r.random()
+            if odd < 0.35:
+                return f'<p><a href="/y">{mark}{words(2, 8).capitalize()}</a></p>'
+            if odd < 0.6:
+                return f"<h2>{mark}{words(1, 3)}</h2><ul>" + "".join(f'<li><a href="/y">{mark}{words(2, 7).capitalize()}</a></li>' for _ in range(r.randint(1, 5))) + "</ul>"
+            if odd < 0.75:
+                return r.choice(("<ul>{}</ul>", "<ol>{}</ol>")).format("".join(f'<li><a href="/y">{mark}{words(1, 6)}</a>{r.choice(("", ", " + words(1, 3)))}</li>' for _ in range(r.randint(1, 6))))
+            return f'<p>{mark}{words(1, 3).capitalize()} <a href="/y">{words(3, 8)}</a> {words(1, 2)} <a href="/z">{words(2, 6)}</a>{r.choice((".", ""))}</p>'
         if kind < 0.08:
             return f"<blockquote>{mark}{body}</blockquote>"
         if kind < 0.16:
@@ -340,12 +352,35 @@ def labelled_pages(count: int = PAGES, seed: int = 5) -> list[list[Node]]:
             return f"<p><b>{mark}{sentence()}<br>"
         return f"<p>{mark}{body}</p>"
 
+    def form() -> str:
+        label = f"<label>{words(1, 2).capitalize()}</label><input>"
+        return r.choice((f"{words(2, 6)} <input> <button>{word()}</button>", label, label * 2, f"<p>{sentence()}</p>{label}<button>{word()}</button>", f"<p>{sentence()}</p>", f"<h3>{words(1, 4)}</h3><p>{sentence()}</p><form>{label}</form>"))
+
+    def comments() -> str:
+        one = lambda tags: named("comment", tags, r.choice((f"<p>{word()}</p>" + plain(1, 3), plain(1, 2), sentence())))
+        if r.random() < 0.4:  # side by side, without a frame
+            return "".join(one(("article", "section", "div")) for _ in range(r.randint(1, 3)))
+        return named("comment", ("div", "section", "ol"), r.choice((f"<h3>{words(1, 3)}</h3>", "")) + "".join(one(("article", "div", "div") if r.random() < 0.4 else ("div", "li")) for _ in range(r.randint(1, 4))))
+
+    def bare() -> str:
+        """A page that is text alone, in one block or a few."""
+        text = lambda: f"{mark}{' '.join(sentence() for _ in range(r.randint(1, 4)))}" if r.random() < 0.7 else f"{mark}{words(1, 6)}"
+        inner = r.choice((text, lambda: "".join(f"<p>{text()}</p>" for _ in range(r.randint(1, 3))), lambda: "<br>".join(text() for _ in range(r.randint(2, 3)))))()
+        for _ in range(r.choice((0, 1, 1, 1, 2))):
+            inner = f"<div>{inner}</div>"
+        return inner
+
     pages = []
-    for _ in range(count):
+    for i in range(count):
+        if i % 8 == 7:
+            pages.append(_labelled(r.choice(("{}", "<html><body>{}</body></html>")).format(bare()), mark))
+            continue
         inside = [paragraph() for _ in range(r.choice((0, 1, 1, 2, 4, 8, 14)))] or [f"<p>{mark}{words(1, 4)}.</p>"]
-        for part, chance in (("ad", 0.2), ("share", 0.25), ("side", 0.12), ("form", 0.08), ("notice", 0.05)):
+        for part, chance in (("ad", 0.2), ("share", 0.25), ("side", 0.12), ("form", 0.2), ("notice", 0.05)):
             if r.random() < chance:
-                inside.insert(r.randint(0, len(inside)), named(part, ("div", "aside", "div") if part != "form" else ("form", "div"), plain(1, 2) if part in ("ad", "notice") else links(2, 5) if part != "form" else f"{words(2, 6)} <input> <button>{word()}</button>"))
+                inside.insert(r.randint(0, len(inside)), named(part, ("div", "aside", "div") if part != "form" else ("form", "div", "section"), plain(1, 2) if part in ("ad", "notice") else links(2, 5) if part != "form" else form()))
+        if r.random() < 0.25:  # readers' comments within the main part
+            inside.append(comments())
         title = f"<h1>{mark}{words(3, 10)}</h1>" if r.random() < 0.85 else ""
         main = title + "".join(inside)
         style = r.random()
@@ -354,7 +389,7 @@ def labelled_pages(count: int = PAGES, seed: int = 5) -> list[list[Node]]:
         elif style < 0.53:
             main = f"<main>{main}</main>"
         elif style < 0.62:
-            main = f"<main><article>{main}</article></main>"
+            main = f"<main><article>{main}</article>{comments() if r.random() < 0.4 else ''}</main>"
         elif style < 0.82:
             main = named("main", ("div", "section"), main)
         elif style < 0.88:
@@ -378,7 +413,7 @@ def labelled_pages(count: int = PAGES, seed: int = 5) -> list[list[Node]]:
                 inner = {"ad": r.choice((plain(1, 2), sentence(), links(1, 3))), "side": r.choice((links(3, 8), f"<h3>{words(1, 3)}</h3>" + links(3, 8), plain(1, 4))), "form": f"<p>{sentence()}</p><label>{word()}</label><input><button>{word()}</button>"}[part]
                 (before if r.random() < 0.5 else after).append(named(part, tags, inner))
         if r.random() < 0.4:
-            after.append(named("comment", ("div", "section", "ol"), f"<h3>{words(1, 3)}</h3>" + "".join(named("comment", ("div", "li", "article") if r.random() < 0.3 else ("div", "li"), f"<p>{word()}</p>" + plain(1, 3)) for _ in range(r.randint(1, 5)))))
+            after.append(comments())
         if r.random() < 0.85:
             after.append(named("footer", ("footer", "div"), r.choice((f"&copy; {words(1, 3)} &middot; {sentence()}", links(3, 7), f"<p>&copy; {words(2, 9)}</p>" + links(2, 5), plain(1, 2)))))
         r.shuffle(before)
@@ -419,12 +454,12 @@ def train(pages: list[list[Node]] | None = None) -> Model:
                 under_root[n.text is not None][int(n.truth)] += 1
             elif n.parent.truth is not None:
                 edges[n.text is not None][int(n.parent.truth), int(n.truth)] += 1
-    x, y = np.zeros((len(rows), WIDTH)), np.array(labels, float)
+    used = np.array(sorted({p for row in rows for p, _ in row}))
+    at = {p: j for j, p in enumerate(used.tolist())}
+    d, y, theta = np.zeros((len(rows), len(used))), np.array(labels, float), np.zeros(len(used))
     for i, row in enumerate(rows):
         for p, v in row:
-            x[i, p] += v
-    used = np.flatnonzero(x.any(axis=0))
-    d, theta = x[:, used], np.zeros(len(used))
+            d[i, at[p]] += v
     for _ in range(12):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(d @ theta, -30, 30)))
         grad = d.T @ (y - p) - 1.0 * theta
@@ -446,9 +481,15 @@ def _likelihood(model: Model, pages: list[list[Node]]) -> float:
     return sum(float(np.log(max(1e-6, p if n.truth else 1 - p))) for nodes in pages for n, p in zip(nodes, model.marginals(nodes)) if n.text is not None)
 
 
+@cache
+def trained() -> Model:
+    """The model of the generator's pages, trained once in a process."""
+    return train()
+
+
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
-    model = model or train()
+    model = model or trained()
 
     def run(batches):
         for b in shared.slices(batches, "html"):

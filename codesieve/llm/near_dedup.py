@@ -16,9 +16,12 @@
    confirmed, refuted or within one component; only links leave it. This costs the product of the nodes
    outside and the bucket.
 
-Cases: null and empty texts have an empty set and link with nothing; rows that repeat a doc_id are
-documents of their own with one id; a null doc_id links with nothing and is kept; an empty table gives
-no row; other columns are ignored.
+A node is a set of shingles, whatever ids have it; its text is that of its smallest (doc_id, text hash).
+
+Cases: null and empty texts have an empty set and link with nothing; rows that repeat a doc_id with another
+text are documents of their own, each judged by its own text; exact repeats of a row are one document (of
+``one_of_each`` one row of them stays); a null doc_id links with nothing and is kept; an empty table gives
+no row; other columns are ignored, or kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -38,12 +41,12 @@ NEIGHBOURS = 4
 DEVIATIONS = 5
 #: Rows and shingles of each side of a comparison within a crowded bucket.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: Ids of candidate documents are broadcast up to this count (16 MB), beyond it the texts are shuffled.
-MOST_BROADCAST = 2_000_000
+#: Keys of candidate documents are broadcast up to this count (24 MB), beyond it the texts are shuffled.
+MOST_BROADCAST = 1_000_000
 _RNG = np.random.default_rng(20_240_601)
 _A = _RNG.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 _TREE = pa.schema([("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _MEMBERS = pa.schema([("bucket", pa.int64()), ("tree", pa.int32()), ("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
@@ -61,7 +64,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, digest and signature (both null for the empty set)."""
+    """doc_id, t (hash of the text), n_shingles, digest and signature (both null for the empty set)."""
 
     def run(batches):
         for b in shared.slices(batches, "text"):
@@ -71,9 +74,9 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
-            yield shared.batch_of(_SIGNED, {"doc_id": b.column("doc_id"), "n_shingles": n, "digest": digest, "signature": sig})
+            yield shared.batch_of(_SIGNED, {"doc_id": b.column("doc_id"), "t": b.column("t"), "n_shingles": n, "digest": digest, "signature": sig})
 
-    return shared.in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return shared.in_arrow(docs.select("doc_id", "t", "text"), run, "doc_id long, t long, n_shingles long, digest binary, signature binary")
 
 
 def _branches(batches):
@@ -185,17 +188,6 @@ def _linked(least: float, size: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
         texts, held = t.column("text"), {}
         node, root = (t.column(c).to_pylist() for c in ("node", "root"))
-        sides = list(zip(node, t.column("outside").to_pylist()))
-        if len(set(sides)) < t.num_rows:  # a doc_id with several texts: the node's is the one with its signature
-            sig, own = t.column("signature").to_pylist(), {}
-            for i, side in enumerate(sides):
-                s = shingle_set(texts[i].as_py() or "", size)
-                if side not in own and len(s) and signature(s).astype(">u4").tobytes() == sig[i]:
-                    own[side] = i
-            t = t.take(pa.array(sorted(own.values()), pa.int64()))
-            texts, node, root = t.column("text"), t.column("node").to_pylist(), t.column("root").to_pylist()
-            if not t.num_rows:
-                return pa.Table.from_batches([], _PAIRS)
         up: dict[int, int] = {}
 
         def find(x):
@@ -229,7 +221,7 @@ def _linked(least: float, size: int, percent: int):
 
 
 def crowded(nodes: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of nodes (node, signature, n) of different components that share a bucket which neighbours don't exhaust."""
+    """Links (a, b) of nodes (node, doc_id, t, signature, n) of different components that share a bucket which neighbours don't exhaust."""
     least = least_estimate(percent)
     placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "signature", "n")
     members = shared.staged(shared.in_arrow(placed, _members, "bucket long, tree int, node long, root long, n long"), "members")
@@ -249,8 +241,8 @@ def crowded(nodes: DataFrame, roots: DataFrame, docs: DataFrame, size: int, perc
     likely = shared.staged(both.groupBy("bucket", "i", "j").applyInArrow(_compared(least, percent), both.schema), "likely")
     if likely.isEmpty():
         return likely.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    texts = shared.staged(_among(docs, likely.select(F.col("node").alias("doc_id")).distinct(), "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-    return likely.join(texts.withColumnRenamed("doc_id", "node"), "node").groupBy("bucket", "i", "j").applyInArrow(_linked(least, size, percent), "a long, b long").distinct()
+    texts = _texts_of(docs, nodes, likely.select("node"))
+    return likely.join(texts, "node").groupBy("bucket", "i", "j").applyInArrow(_linked(least, size, percent), "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -273,16 +265,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(100 * n >= percent * (len(sets[0]) + len(sets[1]) - n))
             yield shared.batch_of(_PAIRS, {"a": [x for x, k in zip(a, keep) if k], "b": [x for x, k in zip(b, keep) if k]})
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return shared.in_arrow(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id and text of the nodes of ``pairs``."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # a node's text is one whose set has the node's digest; of a repeated doc_id the texts with links are looked at
-    return shared.staged(_among(docs, need, "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes ``wanted``; ``docs`` has doc_id, t, text."""
+    need = nodes.select("node", "doc_id", "t").join(wanted.distinct(), "node")
+    return shared.staged(_among(docs, shared.staged(need, "need"), "inner").select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -297,18 +288,27 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _keyed_columns(docs: DataFrame) -> tuple:
+    """doc_id as a whole number and ``t``, the hash of the text."""
+    return docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("t")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keyed_columns(docs), docs["text"].cast("string").alias("text"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, t, n_shingles, component_id, first (whether (doc_id, t) is its component's smallest) for every row of ``docs``."""
+    docs = _keyed(docs)
     all_rows = shared.staged(signed(docs, size), "signed")
-    grouped = all_rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "n_shingles")).alias("x"))
-    nodes = shared.staged(grouped.select("digest", F.col("x.doc_id").alias("node"), F.col("x.signature").alias("signature"), F.col("x.n_shingles").alias("n")), "nodes")
+    grouped = all_rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "t", "signature", "n_shingles")).alias("x"))
+    nodes = shared.staged(grouped.select("digest", F.xxhash64("digest").alias("node"), F.col("x.doc_id").alias("doc_id"), F.col("x.t").alias("t"), F.col("x.signature").alias("signature"), F.col("x.n_shingles").alias("n")), "nodes")
     pairs, least = candidates(nodes), least_estimate(percent)
     sig = nodes.select("node", "signature")
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "signature": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "signature": "sb"}), "b").select("a", "b", "sa", "sb")
     likely = shared.staged(shared.in_arrow(both, _estimated(least), "a long, b long, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate")), "likely")
 
-    texts = _texts_of(docs, likely)
+    texts = _texts_of(docs, nodes, likely.select(F.explode(F.array("a", "b")).alias("node")))
     best = F.max(F.struct("estimate", "b")).alias("x"), F.max(F.struct("estimate", "a")).alias("x")
     first = likely.groupBy("a").agg(best[0]).select("a", F.col("x.b").alias("b")).unionByName(likely.groupBy("b").agg(best[1]).select(F.col("x.a").alias("a"), "b")).distinct()
     links = shared.staged(confirmed(first, texts, size, percent).distinct(), "links")
@@ -318,26 +318,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if not rest.isEmpty():
         roots = _joined(roots, shared.staged(confirmed(rest, texts, size, percent).distinct(), "links"))
 
-    roots = _joined(roots, shared.staged(crowded(nodes.select("node", "signature", "n"), roots, docs, size, percent), "links"))
+    roots = _joined(roots, shared.staged(crowded(nodes.drop("digest"), roots, docs, size, percent), "links"))
 
-    placed = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    out = all_rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placed = shared.staged(nodes.select("digest", "node", "doc_id", "t").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "doc_id", "t"), "placed")
+    least = placed.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("least"))
+    named = placed.select("digest", "root").join(least, "root").select("digest", "least")
+    out = all_rows.select("doc_id", "t", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    first = F.col("least").isNull() | F.col("doc_id").isNull() | (F.struct("doc_id", "t") == F.col("least"))
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), first.alias("first"))
 
 
-def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` with or without the ids, which are broadcast up to a checked count."""
-    small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
+    out = _grouped(docs, size, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` joined with keys (doc_id, t), which are broadcast up to a checked count."""
+    small = keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(keys) if small else keys, ["doc_id", "t"], how)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: the smallest doc_id of each group stays, once."""
-    found = shared.staged(near_duplicates(docs, size, percent), "near")
-    out = _among(docs, found.filter(~F.col("kept")).select("doc_id").distinct(), "left_anti")
-    repeated = shared.staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    """The rows of ``docs`` without near duplicates: of each group the row of the smallest doc_id (and hash of the text) stays, once.
+
+    A row goes for its own text alone; rows without words and rows without a doc_id stay.
+    """
+    found = shared.staged(_grouped(docs, size, percent), "near")
+    # columns of their own beside all that the rows have
+    rows = docs.select(F.struct("*").alias("row"), *_keyed_columns(docs))
+    out = _among(rows, shared.staged(found.filter(~F.col("first")).select("doc_id", "t").distinct(), "dropped"), "left_anti")
+    repeated = shared.staged(found.filter("first and doc_id is not null").groupBy("doc_id", "t").count().filter("count > 1").select("doc_id", "t"), "repeated")
     if not repeated.isEmpty():
-        again = _among(out, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
-        out = _among(out, repeated, "left_anti").unionByName(again)
-    return out.select(*docs.columns)
+        again = _among(out, repeated, "left_semi").dropDuplicates(["doc_id", "t"])
+        out = _among(out, repeated, "left_anti").select("row").unionByName(again.select("row"))
+    return out.select("row.*")
