@@ -10,10 +10,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def registered() -> tuple[dict, dict]:
-    from . import advice, clones, cohesion, facts, findings, rules, signal, trees
+    from . import advice, clones, cohesion, facts, findings, nested, rules, signal, trees
 
     queries, oracle = {}, {}
-    for m in (clones, findings, signal, cohesion, advice, trees, rules, facts):
+    for m in (clones, findings, signal, cohesion, advice, trees, nested, rules, facts):
         queries |= m.QUERIES
         oracle |= m.ORACLE
     return queries, oracle
