@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def wmc(methods: DataFrame, key: str = "type") -> DataFrame:
@@ -81,24 +81,19 @@ def lcom4(methods: DataFrame, key: str = "type", rounds: int | None = None) -> D
 
 
 def cognitive(events: DataFrame, key: str = "method") -> DataFrame:
-    """Score of an event log (key, seq, kind, from_expansion); a pop undoes its own push, an unbalanced log is an error."""
-
-    def run(pdf):
-        import pandas as pd
-
-        score, stack, depth = 0, [], 0
-        for kind, macro in zip(*(pdf.sort_values("seq")[c] for c in ("kind", "from_expansion"))):
-            if kind == "push":
-                stack.append(bool(macro))
-                depth += not macro
-            elif kind == "pop":
-                if not stack:
-                    raise ValueError("pop without a push")
-                depth -= not stack.pop()
-            elif not macro:
-                score += depth if kind == "nesting" else 1
-        if stack:
-            raise ValueError("push without a pop")
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "score": [score]})
-
-    return events.groupBy(key).applyInPandas(run, events.select(key).schema.add("score", "long"))
+    """Score of an event log (key, seq, kind, from_expansion); a pop undoes its own push, an unbalanced log is an error.
+
+    Brackets of one level take turns, so the event before a pop among those of its level is its push. Running sums give
+    levels and depths; a method's rows stream through a window.
+    """
+    by = Window.partitionBy(key).orderBy("seq")
+    turn = F.when(F.col("kind") == "push", 1).when(F.col("kind") == "pop", -1).otherwise(0)
+    e = events.select(key, "seq", "kind", F.coalesce("from_expansion", F.lit(False)).alias("macro")).withColumn("level", F.sum(turn).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    bracket = F.when(F.col("kind") == "push", F.col("level")).when(F.col("kind") == "pop", F.col("level") + 1)
+    e = e.withColumn("bracket", bracket).withColumn("pushed", F.lag("macro").over(Window.partitionBy(key, "bracket").orderBy("seq")))
+    deeper = F.when((F.col("kind") == "push") & ~F.col("macro"), 1).when((F.col("kind") == "pop") & ~F.col("pushed"), -1).otherwise(0)
+    e = e.withColumn("depth", F.sum(deeper).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    score = F.when(F.col("kind").isin("push", "pop") | F.col("macro"), 0).when(F.col("kind") == "nesting", F.col("depth")).otherwise(1)
+    out = e.groupBy(key).agg(F.sum(score).cast("long").alias("score"), F.min("level").alias("least"), F.sum(turn).alias("open"))
+    wrong = F.when(F.col("least") < 0, F.raise_error(F.lit("pop without a push"))).when(F.col("open") > 0, F.raise_error(F.lit("push without a pop")))
+    return out.select(key, F.coalesce(wrong.cast("long"), "score").alias("score"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as X
+from ..functions import meta, text as X
 
 #: Name of the constant that marks a generated test module, and attribute paths; fixed values.
 HARNESS_DESCRIPTOR = "RSTEST_HARNESS_DESCRIPTOR"
@@ -14,17 +14,25 @@ TEST_MARKERS = ("rstest", "rstest::rstest")
 FIXTURE_MARKERS = ("fixture", "rstest::fixture")
 
 
-def enclosing(nodes: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 64) -> DataFrame:
-    """(node, ancestor, distance) by doubling paths; a node is its own ancestor at distance 0."""
-    step = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance")).filter("ancestor is not null")
-    reach, paths = step, step
-    for _ in range(rounds):
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        now = reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
-        if now.count() == reach.count():
-            break
-        reach, paths = now, now
-    return reach.unionByName(nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("distance")))
+def enclosing(nodes: DataFrame, node: str = "node", parent: str = "parent", rounds: int = 32) -> DataFrame:
+    """(node, ancestor, distance); a node is its own ancestor at distance 0, and the shortest of several paths counts.
+
+    Only the frontier doubles: the ancestors at exactly 2^k steps lead to what was found from there. A round joins one row a node with
+    the rows of an ancestor; after ``rounds`` of them, 2^32 steps with the default, the parents run in a circle, which is an error.
+    """
+    step = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor is not null").distinct().checkpoint()
+    reach = nodes.select(F.col(node).alias("node")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
+    reach, turn = reach.unionByName(step.select(F.col("ancestor").alias("node")).join(nodes.select(F.col(node).alias("node")), "node", "left_anti").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))), 0
+    while not step.isEmpty():
+        if turn == rounds:
+            raise ValueError("parents run in a circle")
+        far = step.withColumnRenamed("ancestor", "middle")
+        longer = far.join(reach.withColumnRenamed("node", "middle"), "middle").select("node", "ancestor", (F.col("distance") + (1 << turn)).alias("distance"))
+        reach = reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
+        step = far.join(step.withColumnRenamed("node", "middle"), "middle").select("node", "ancestor").distinct().checkpoint()
+        turn += 1
+    own = nodes.select(F.col(node).alias("node")).distinct()
+    return reach.join(own, "node", "left_semi").withColumn("distance", F.col("distance").cast("int"))
 
 
 def context(sites: DataFrame, ancestors: DataFrame, items: DataFrame) -> DataFrame:
@@ -86,14 +94,6 @@ def over_branched(counts: DataFrame, most: int = 2) -> DataFrame:
     return counts.filter(F.col("branches") > max(1, most))
 
 
-def leading_content(text: Column) -> Column:
-    """``doc``, ``missing`` or ``misordered`` by what a module starts with."""
-    first = F.regexp_extract(text, r"^\s*(?:(?://(?!!)[^\n]*|/\*(?!!)(?s:.*?)\*/)\s*)*(//!|/\*!|#!\[\s*doc|#!\[\s*cfg_attr\s*\([^\]]*,\s*doc|#!\[[^\]]*\]|.)", 1)
-    is_doc = first.rlike(r"^(//!|/\*!|#!\[\s*(doc|cfg_attr))")
-    later = text.rlike(r"(?m)^\s*(//!|#!\[\s*doc)")
-    return F.when(is_doc, "doc").when(later, "misordered").otherwise("missing")
-
-
 def parameter_kind(is_identifier: Column, provider: Column) -> Column:
     return F.when(~is_identifier, "unsupported_pattern").when(provider, "provider").otherwise("fixture_local")
 
@@ -204,36 +204,6 @@ def ordered_prefixes(prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
 #: Rule name to what it reports.
 REGISTRY: dict[str, Callable] = {
     "no_expect_outside_tests": expect_violations, "no_unwrap_or_else_panic": panic_violations, "no_std_fs_operations": std_fs_sites,
-    "function_attrs_follow_docs": misordered, "test_must_not_have_example": X.example_violation, "module_must_have_inner_docs": leading_content,
+    "function_attrs_follow_docs": misordered, "test_must_not_have_example": X.example_violation, "module_must_have_inner_docs": meta.leading_content,
     "module_max_lines": long_modules, "conditional_max_n_branches": over_branched, "rstest_helper_should_be_fixture": call_sites,
 }
-
-
-def cfg_contains_test(meta: str, propagate: bool = True) -> bool:
-    """Whether a cfg predicate asks for ``test``. With ``propagate`` a ``not`` turns what is nested in it; without, nested lists start positive again."""
-    import re
-
-    tokens = re.findall(r"[\w:]+|[(),]|=\s*\"[^\"]*\"|=", meta)
-    at = 0
-
-    def item(positive: bool) -> bool:
-        nonlocal at
-        name = tokens[at]
-        at += 1
-        if at < len(tokens) and tokens[at].startswith("="):
-            at += 1
-            return False
-        if at < len(tokens) and tokens[at] == "(":
-            at += 1
-            inner = (not positive if name == "not" else positive) if propagate else name != "not"
-            found = False
-            while at < len(tokens) and tokens[at] != ")":
-                if tokens[at] == ",":
-                    at += 1
-                    continue
-                found = item(inner) | found
-            at += 1
-            return found
-        return name == "test" and positive
-
-    return item(True) if tokens else False

@@ -182,7 +182,6 @@ def test_predicates(spark):
     p = spark.createDataFrame([("my_app::legacy_io",), ("my_app::legacy_io::reader",), ("my_app::legacy_io_utils",), ("my_app",)], "path string")
     kept = rules.excluded(p, spark.createDataFrame([("my_app::legacy_io",)], "prefix string"))
     assert sorted(r.path for r in kept.collect()) == ["my_app", "my_app::legacy_io_utils"]
-    assert rules.cfg_contains_test("all(unix, test)") and not rules.cfg_contains_test("not(test)") and not rules.cfg_contains_test("not(any(test))") and rules.cfg_contains_test("not(any(test))", propagate=False) is True
     assert one(X.duration_text(F.lit(3723004))) == "1h 2m 3.004s" and one(X.ratio_text(F.lit(2), F.lit(3))) == "0.666666" and one(X.ratio_text(F.lit(0), F.lit(0))) == "0.000000"
     assert one(X.branch_phrase(F.lit(3), F.lit("cy"))) == "tair cangen"
 
