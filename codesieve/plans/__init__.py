@@ -10,10 +10,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def registered() -> tuple[dict, dict]:
-    from . import advice, attributes, clones, cohesion, facts, findings, nested, rules, signal, trees
+    from . import advice, attributes, clones, cohesion, facts, findings, nested, rules, signal, streams, trees
 
     queries, oracle = {}, {}
-    for m in (clones, findings, signal, cohesion, advice, trees, nested, rules, attributes, facts):
+    for m in (clones, findings, signal, cohesion, advice, trees, nested, rules, attributes, streams, facts):
         queries |= m.QUERIES
         oracle |= m.ORACLE
     return queries, oracle

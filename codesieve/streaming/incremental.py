@@ -1,8 +1,18 @@
-"""Streaming forms of the deduplicated call sites and the running counters."""
+"""Streaming forms of the deduplicated call sites and the running counters.
+
+``first_seen`` keeps a flag for each key until the watermark has passed the key's last row by ``late``.
+``Counters`` commits a batch's sums once for each batch id: a folder holds the sums, a marker that only one
+writer can create makes them count, so a replayed batch changes nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def first_sites(calls: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -10,6 +20,29 @@ def first_sites(calls: DataFrame, time: str = "ts", late: str = "1 hour") -> Dat
     return calls.withWatermark(time, late).dropDuplicatesWithinWatermark(["callee", "lo", "hi", "id"])
 
 
+def first_seen(rows: DataFrame, keys: list[str], time: str, order: str, late_ms: int) -> DataFrame:
+    """Keys, ``order`` and ``time`` of the first row (by ``order``, within its batch) of each key that isn't remembered. ``rows`` has a watermark."""
+    kept = rows.select(*keys, order, time)
+    names = kept.columns
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, last = None, state.get[0] if state.exists else 0
+        for pdf in parts:
+            last = max(last, int(pdf[time].max().value // 1_000_000))
+            best = pdf.loc[[pdf[order].idxmin()]]
+            first = best if first is None or best[order].iloc[0] < first[order].iloc[0] else first
+        seen = state.exists
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + late_ms)
+        if not seen and first is not None:
+            yield first[names]
+
+    return kept.groupBy(*keys).applyInPandasWithState(run, kept.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def running_rates(runs: DataFrame, key: str = "mode") -> DataFrame:
     """Counts and time by mode, for ``update`` or ``complete`` output."""
     return runs.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("total_ms"))
@@ -17,3 +50,42 @@ def running_rates(runs: DataFrame, key: str = "mode") -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str, key: str, size: str, late: str) -> DataFrame:
     return events.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+class Counters:
+    """Additive sums by key in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], sums: list[str]):
+        self.spark, self.folder, self.keys, self.sums = spark, folder, keys, sums
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def commit(self, rows: DataFrame, batch_id: int) -> bool:
+        """For ``foreachBatch``: False where the id counts already. The marker names the attempt whose sums count."""
+        marker = self._path(f"committed-{batch_id:012d}")
+        if self._fs.exists(marker):
+            return False
+        attempt = f"sums-{uuid.uuid4().hex}"
+        rows.groupBy(*self.keys).agg(*(F.sum(c).alias(c) for c in self.sums)).write.parquet(f"{self.folder}/{attempt}")
+        own = self._path(f"_{attempt}")
+        out = self._fs.create(own, False)
+        out.write(bytearray(attempt.encode()))
+        out.close()
+        # of two writers one creates the marker; a rename onto an existing file fails
+        if self._fs.exists(marker) or not self._fs.rename(own, marker):
+            self._fs.delete(self._path(attempt), True)
+            return False
+        return True
+
+    def totals(self) -> DataFrame:
+        """Sums of all committed batches: keys and sums."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
+        marks = [f"{self.folder}/{n}" for n in names if n.startswith("committed-")]
+        if not marks:
+            raise ValueError("no batch is committed")
+        attempts = [r.value for r in self.spark.read.text(marks).collect()]  # one name a batch
+        return self.spark.read.parquet(*(f"{self.folder}/{a}" for a in attempts)).groupBy(*self.keys).agg(*(F.sum(c).alias(c) for c in self.sums))
