@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import meta, text as X
+from .nested import running
 
 #: Name of the constant that marks a generated test module, and attribute paths; fixed values.
 HARNESS_DESCRIPTOR = "RSTEST_HARNESS_DESCRIPTOR"
@@ -113,6 +114,14 @@ def call_sites(calls: DataFrame, min_calls: int = 2, min_tests: int = 2) -> Data
     return out.filter((F.col("n_calls") >= max(2, min_calls)) & (F.col("n_tests") >= max(2, min_tests)))
 
 
+def listed_sites(calls: DataFrame, min_calls: int = 2, min_tests: int = 2) -> DataFrame:
+    """(callee, place, lo, hi, id, test, shape): the sites of ``call_sites``' helpers, each location once with the first test by name, in source order from 1; a callee's sites need no one task."""
+    each = calls.groupBy("callee", "lo", "hi", "id").agg(F.min(F.struct("test", "shape")).alias("x")).select("callee", "lo", "hi", "id", "x.test", "x.shape")
+    kept = each.join(call_sites(calls, min_calls, min_tests).select("callee"), "callee")
+    out = running(kept.withColumn("_one", F.lit(1).cast("long")), ["callee"], ["lo", "hi", "id"], {"_one": "place"})
+    return out.select("callee", "place", "lo", "hi", "id", "test", "shape")
+
+
 def argument_shape(atoms: Column) -> Column:
     """Kinds of the arguments without their values."""
     return F.array_join(F.transform(atoms, lambda a: a["tag"]), ",")

@@ -32,6 +32,12 @@ def call_sites(spark, d):
     return O.call_sites(e, 3, 3).select("callee", "n_calls", "n_tests", F.col("first.lo").alias("first_lo"), F.col("first.id").alias("first_id"))
 
 
+def listed_sites(spark, d):
+    """Each helper's sites in source order; users are tests, minutes positions, so that locations repeat."""
+    e = read(spark, d, "events").select(F.concat(F.lit("helper"), (F.col("event_id") % 40).cast("string")).alias("callee"), F.col("user_id").cast("string").alias("test"), F.floor(F.unix_timestamp("ts") / 3600).alias("lo"), (F.floor(F.unix_timestamp("ts") / 3600) + 1).alias("hi"), (F.col("user_id") % 3).alias("id"), F.col("event_type").alias("shape"))
+    return O.listed_sites(e)
+
+
 def exclusions(spark, d):
     """Pages whose host and path, read as segments, lie under none of the listed prefixes."""
     p = read(spark, d, "pages").select("page_id", F.replace(F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", ""), F.lit("/"), F.lit("::")).alias("path"))
@@ -52,6 +58,13 @@ def install_rates(spark, d):
     return out.select("host", "installs", "downloads", "builds", "total_ms", F.round("download_rate", 6).alias("download_rate"), X.duration_text(F.col("total_ms")).alias("duration"))
 
 
+def install_summaries(spark, d):
+    """The line that sums up each host's runs."""
+    e = read(spark, d, "events")
+    runs = e.select((F.col("user_id") % 50).alias("host"), F.when(F.col("event_type").isin("view", "click"), "download").otherwise("build").alias("mode"), F.round(F.col("value") * 10).cast("bigint").alias("ms"))
+    return M.summary(M.rates(runs, ["host"])).select("host", "summary")
+
+
 def library_names(spark, d):
     p = read(spark, d, "part").select("p_partkey", X.library_parts(F.concat(F.lit("lib"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("@"), F.col("p_brand"), F.lit(".so"))).alias("x"))
     return p.filter("x is not null").select("p_partkey", "x.crate", "x.toolchain")
@@ -81,7 +94,7 @@ def embedding_cosine(spark, d):
     return found.withColumn("cosine", F.round("cosine", 4))  # compared as it is, rounded to be shown
 
 
-QUERIES = {f.__name__: f for f in (doc_examples, long_modules, misordered_first, call_sites, exclusions, harness_semi, install_rates, library_names, std_fs_sites, branch_phrases, embedding_cosine)}
+QUERIES = {f.__name__: f for f in (doc_examples, long_modules, misordered_first, call_sites, listed_sites, exclusions, harness_semi, install_rates, install_summaries, library_names, std_fs_sites, branch_phrases, embedding_cosine)}
 ORACLE = {
     "doc_examples": r"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '## Examples:' || chr(10) WHEN turn % 7 = 3 THEN '  ```rust' || chr(10) ELSE '' END || text AS x FROM conversations),
       l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(x, chr(10)), lambda s: CASE WHEN regexp_matches(s, '(?i)^\s*#+\s*examples:?\s*$') THEN 'heading' WHEN regexp_matches(s, '^\s*(```|~~~)') THEN 'fence' END), lambda s: s IS NOT NULL) AS v FROM t)
@@ -97,6 +110,12 @@ ORACLE = {
     "install_rates": """WITH r AS (SELECT user_id % 50 AS host, CASE WHEN event_type IN ('view', 'click') THEN 'download' ELSE 'build' END AS mode, round(value * 10)::BIGINT AS ms FROM events),
       t AS (SELECT host, count(*) AS installs, count(*) FILTER (mode = 'download') AS downloads, count(*) FILTER (mode = 'build') AS builds, sum(ms)::BIGINT AS total_ms FROM r GROUP BY host)
       SELECT *, round(downloads / installs, 6) AS download_rate, CASE WHEN total_ms >= 3600000 THEN (total_ms // 3600000) || 'h ' ELSE '' END || CASE WHEN total_ms >= 60000 THEN (total_ms // 60000 % 60) || 'm ' ELSE '' END || (total_ms // 1000 % 60) || '.' || lpad((total_ms % 1000)::VARCHAR, 3, '0') || 's' AS duration FROM t""",
+    "install_summaries": """WITH r AS (SELECT user_id % 50 AS host, CASE WHEN event_type IN ('view', 'click') THEN 'download' ELSE 'build' END AS mode, round(value * 10)::BIGINT AS ms FROM events),
+      t AS (SELECT host, count(*) AS n, count(*) FILTER (mode = 'download') AS a, count(*) FILTER (mode = 'build') AS b, sum(ms)::BIGINT AS ms FROM r GROUP BY host)
+      SELECT host, printf('%d installs, %.1f%% downloaded, %.1f%% built, ', n, 100.0 * a / n, 100.0 * b / n) || CASE WHEN ms >= 3600000 THEN (ms // 3600000) || 'h ' ELSE '' END || CASE WHEN ms >= 60000 THEN (ms // 60000 % 60) || 'm ' ELSE '' END || (ms // 1000 % 60) || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') || 's' AS summary FROM t""",
+    "listed_sites": """WITH e AS (SELECT 'helper' || (event_id % 40) AS callee, user_id::VARCHAR AS test, epoch(date_trunc('second', ts))::BIGINT // 3600 AS lo, user_id % 3 AS id, event_type AS shape FROM events),
+      s AS (SELECT callee, lo, id, min(test) AS test, arg_min(shape, test || '/' || shape) AS shape FROM e GROUP BY ALL)
+      SELECT callee, row_number() OVER (PARTITION BY callee ORDER BY lo, id) AS place, lo, lo + 1 AS hi, id, test, shape FROM s""",
     "library_names": "SELECT p_partkey, replace(p_name, ' ', '_') AS crate, p_brand AS toolchain FROM part WHERE position('@' IN p_name) = 0",
     "std_fs_sites": "SELECT p_partkey, p_brand AS crate, 'app::m' || (p_size % 7) || '::f' AS path, 'std::fs::' || string_split(p_type, ' ')[1] AS label FROM part WHERE p_partkey % 3 = 0 AND p_brand NOT IN ('Brand#11', 'Brand#12') AND p_size % 7 <> 3",
     "branch_phrases": """SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN CASE WHEN n = 1 THEN 'un gangen' WHEN n = 2 THEN 'dwy gangen' WHEN n = 3 THEN 'tair cangen' WHEN n = 6 THEN 'chwe changen' WHEN n IN (4, 5) THEN n || ' cangen' ELSE n || ' canghennau' END

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import u64
 from ..operators import trees as O
 from . import read
 
@@ -17,7 +18,7 @@ def _nodes(spark, d):
     seg = c.select(tree.alias("tree"), "c_mktsegment").distinct().select("tree", F.concat(F.lit("s-"), F.col("c_mktsegment")).alias("node"), F.lit("r").alias("parent"), F.length("c_mktsegment").cast("bigint").alias("ordinal"), F.lit(1).alias("depth"), F.lit(2).alias("kind"), none.alias("leaf"))
     cust = c.select(tree.alias("tree"), F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("node"), F.concat(F.lit("s-"), F.col("c_mktsegment")).alias("parent"), F.col("c_custkey").alias("ordinal"), F.lit(2).alias("depth"), F.lit(3).alias("kind"), none.alias("leaf"))
     orders = o.join(c, o.o_custkey == c.c_custkey).select(tree.alias("tree"), F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("node"), F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("parent"),
-        F.col("o_orderkey").alias("ordinal"), F.lit(3).alias("depth"), (F.lit(4) + F.ascii("o_orderstatus") % 3).alias("kind"), F.col("o_orderpriority").alias("leaf"))
+        F.col("o_orderkey").alias("ordinal"), F.lit(3).alias("depth"), (F.lit(4) + F.ascii("o_orderstatus") % 3).alias("kind"), F.when(F.col("o_orderpriority") == "1-URGENT", "ident").when(F.col("o_orderpriority") == "2-HIGH", "literal").otherwise("other").alias("leaf"))
     return root.unionByName(seg).unionByName(cust).unionByName(orders)
 
 
@@ -49,7 +50,27 @@ QUERIES = {f.__name__: f for f in (kind_counts, kind_histogram, productions, tre
 _N = """n AS (SELECT n_nationkey::BIGINT AS tree, 'r' AS node, NULL AS parent, 0 AS depth, 1 AS kind FROM nation
   UNION ALL SELECT DISTINCT c_nationkey::BIGINT, 's-' || c_mktsegment, 'r', 1, 2 FROM customer UNION ALL SELECT c_nationkey::BIGINT, 'c-' || c_custkey, 's-' || c_mktsegment, 2, 3 FROM customer
   UNION ALL SELECT c_nationkey::BIGINT, 'o-' || o_orderkey, 'c-' || o_custkey, 3, 4 + ascii(o_orderstatus) % 3 FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _byte(hx: str) -> str:
+    return f"list_transform(range(0, len({hx}) // 2), lambda i: ((instr('0123456789ABCDEF', substr({hx}, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr({hx}, 2 * i + 2, 1)) - 1)::UBIGINT)"
+
+
+def _node(kind: str, leaf: str, kids: str) -> str:
+    """Hexadecimal bytes of a node; fewer than 65536 children."""
+    low = "upper(lpad(to_hex(({0}) % 256), 2, '0') || lpad(to_hex(({0}) // 256), 2, '0'))".format
+    return f"hex(encode('{O.SCHEMA_ID}n')) || {low(f'({kind})::BIGINT')} || hex(encode({leaf})) || {low(f'({kids})::BIGINT')} || '000000000000'"
+
+
+_LOW = " || ".join(f"substr(upper(lpad(to_hex(h), 16, '0')), {i}, 2)" for i in range(15, 0, -2))
+_FOLD = f"list_reduce(list_prepend({u64.FNV_BASIS}::UBIGINT, {_byte('hx')}), lambda h, b: xor(((h::UHUGEINT * {u64.FNV_PRIME}) % 18446744073709551616::UHUGEINT)::UBIGINT, b))"
+_HASHES = f"""WITH o AS (SELECT c_nationkey AS tree, c_mktsegment AS seg, c_custkey AS cust, o_orderkey AS ord, {_node("4 + ascii(o_orderstatus) % 3", "CASE o_orderpriority WHEN '1-URGENT' THEN 'i' WHEN '2-HIGH' THEN 'l' ELSE 'o' END", "0")} AS hx FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
+      oh AS (SELECT tree, seg, cust, ord, {_FOLD} AS h FROM o), c AS (SELECT tree, seg, cust, {_node("3", "'n'", "count(ord)")} || coalesce(string_agg({_LOW}, '' ORDER BY ord) FILTER (ord IS NOT NULL), '') AS hx FROM oh GROUP BY tree, seg, cust),
+      ch AS (SELECT tree, seg, cust, {_FOLD} AS h FROM c), s AS (SELECT tree, seg, {_node("2", "'n'", "count(*)")} || string_agg({_LOW}, '' ORDER BY cust) AS hx FROM ch GROUP BY tree, seg),
+      sh AS (SELECT tree, seg, {_FOLD} AS h FROM s), r AS (SELECT n_nationkey::BIGINT AS tree, {_node("1", "'n'", "count(seg)")} || coalesce(string_agg({_LOW}, '' ORDER BY length(seg), h) FILTER (seg IS NOT NULL), '') AS hx FROM nation LEFT JOIN sh ON tree = n_nationkey GROUP BY n_nationkey)
+      SELECT tree, lpad(lower(to_hex({_FOLD})), 16, '0') AS hash FROM r"""
 ORACLE = {
+    "tree_hash": _HASHES,
     "kind_counts": f"WITH {_N} SELECT tree, kind, depth, count(*) AS n FROM n GROUP BY ALL",
     "kind_histogram": f"WITH {_N} SELECT tree, kind, sum((9223372036854775808::HUGEINT >> depth))::HUGEINT::VARCHAR AS weight FROM n GROUP BY tree, kind",
     "productions": f"""WITH {_N} SELECT a.tree, b.kind || '>' || a.kind AS production, count(*) AS n FROM n a JOIN n b ON a.tree = b.tree AND a.parent = b.node GROUP BY 1, 2
