@@ -1,5 +1,10 @@
 """A training corpus from ``documents``: toxic documents go, one of each group of near duplicates stays,
-documents with benchmark passages go, secrets are redacted, and the rest is packed into sequences."""
+documents with benchmark passages go, secrets are redacted, and the rest is packed into sequences.
+
+Each stage works on every row its predecessor kept. Rows with a null or empty text and rows with a null doc_id pass all
+filters; exact repeats of a row are one document from the second stage on, rows that share a doc_id but not the text are
+documents of their own; an empty table gives no row; columns beside doc_id and text are kept as they are, up to packing.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; the lexicon is learned from all labelled documents."""
+    """Documents whose toxicity is below the threshold; the lexicon is learned from labelled documents outside of the held-out third, at most ``toxicity.MOST_ROWS`` of them."""
     return toxicity.clean(docs, toxicity.learn(docs, shared.table(spark, sf_dir, "labels")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of linked texts: five-word shingles, similarity 0.8 or more. A row goes for its own text alone."""
     return near_dedup.one_of_each(docs)
 
 
@@ -45,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: SQL can't express these stages; they are tested against brute force.
+#: SQL can't express these stages; tests hold each of them against a plain version on the rows it gets.
 ORACLE_SQL = None
 
 
