@@ -162,11 +162,12 @@ def test_lcom4_says_when_rounds_end(spark):
 def test_tree_hash_of_large_trees(spark):
     """A tree beyond the node budget has a hash, the one that folding it in one piece gives."""
     n = trees.MOST_NODES + 5
-    rows = [(t, "r", None, 0, 0, 1, None) for t in (1, 2, 3)] + [(t, f"k{i}", "r", i, 1, 2 + i % 3, "x" if t == 3 and i == 7 else "y") for t in (1, 2, 3) for i in range(n)]
+    rows = [(t, "r", None, 0, 0, 1, None) for t in (1, 2, 3)] + [(t, f"k{i}", "r", i, 1, 2 + i % 3, "ident" if t == 3 and i == 7 else "y") for t in (1, 2, 3) for i in range(n)]
     df = spark.createDataFrame(rows, "tree long, node string, parent string, ordinal long, depth int, kind int, leaf string")
-    h = u64.fnv_bytes(f"tree-1|1||{n}".encode())
+    head = lambda kind, leaf, kids: b"tree-1n" + kind.to_bytes(2, "little") + leaf + kids.to_bytes(8, "little")
+    h = u64.fnv_bytes(head(1, b"n", n))
     for i in range(n):
-        h = u64.fnv_bytes(u64.fnv_bytes(f"tree-1|{2 + i % 3}|y|0".encode()).to_bytes(8, "little"), h)
+        h = u64.fnv_bytes(u64.fnv_bytes(head(2 + i % 3, b"o", 0)).to_bytes(8, "little"), h)
     with pytest.MonkeyPatch.context() as m:
         m.setattr(plans_trees, "_nodes", lambda spark, d: df)
         got = {r.tree: r.hash for r in plans_trees.tree_hash(spark, "").collect()}
@@ -332,3 +333,47 @@ def test_run_emission(spark):
     assert [r.message for r in got] == ["Type-1 clone: d/1:2:1-2:3 <-> d/2:2:1-2:3 (sim = 0.950000)", "Type-2 clone: d/2:2:1-2:3 <-> d/1:2:1-2:3 (sim = 0.950000)"]
     assert got[0].fragment == hashlib.sha256(b"1\x002\x00T1").hexdigest() and got[0].related_message == "Peer clone fragment: 2" and got[0].properties.jaccard == 0.95
     assert {r.token_hash for r in got} == {hashlib.sha256(b"".join(x.to_bytes(8, "big") for x in (5, 7, 2**64 - 1))).hexdigest()}
+
+
+def test_acceptance_rejects_mixed_profiles(spark):
+    """Pairs in any order come once, from the lesser key, sorted; other profiles, unknown keys and pairs of one key are errors."""
+    rows = [(1, "T1", [1, 2, 3, 4]), (2, "T1", [1, 2, 3, 4]), (3, "T1", [1, 2, 9]), (4, "T2", [1, 2, 3, 4]), (5, "T2", [1, 2, 3])]
+    fragments = spark.createDataFrame(rows, "doc_id long, profile string, hashes array<long>")
+    at = lambda *p: spark.createDataFrame(list(p), "left long, right long")
+    got = pairs.accept(at((5, 4), (2, 1), (1, 2), (1, 3), (4, 5)), fragments, (3, 4), (3, 4)).collect()
+    assert [(r.left, r.right, r.profile, r.rule_id, r.intersection, r.union, r.score) for r in got] == [(1, 2, "T1", "CLONE001", 4, 4, "1.000000"), (4, 5, "T2", "CLONE002", 3, 4, "0.750000")]
+    for bad, text in (((1, 4), "mixed profiles of pair 1,4"), ((1, 9), "missing fragment"), ((3, 3), "pair of one fragment 3,3")):
+        with pytest.raises(Exception, match=text):
+            pairs.accept(at(bad), fragments).collect()
+    with pytest.raises(ValueError):
+        pairs.accept(at((1, 2)), fragments, (3, 2))
+
+
+def test_signed_sets_equal_the_steps(spark):
+    """Both profiles in one pass have the sets, first places and lanes that fingerprints, hash sets and signatures give one by one."""
+    docs = spark.createDataFrame([(1, "fn add(a, b) { return a + b + 10; } fn sub(x, y) { return x - y; }"), (2, "fn add(c, d) { return c + d + 7; } fn sub(x, y) { return x - y; }"), (3, "one two"), (4, None), (5, "fn add(a, b) { return a + b + 10; } fn sub(x, y) { return x - y; }")], "doc_id long, text string")
+    signed = sketch.signed_sets(docs.repartition(2), 4, 3)
+    got = {(r.doc_id, r.profile): (r.hashes, r.lanes, r.first) for r in signed.collect()}
+    for p in ("T1", "T2"):
+        prints = tokens.fingerprints(docs, 4, 3, p)
+        first = {r.doc_id: r.m for r in prints.groupBy("doc_id").agg(F.min("pos").alias("m")).collect()}
+        want = {(r.doc_id, p): (r.hashes, r.lanes, first[r.doc_id]) for r in sketch.signatures(sketch.hash_sets(prints)).collect()}
+        assert {k: v for k, v in got.items() if k[1] == p} == want and len(want) == 3
+    kept = sketch.first_of_each(signed).collect()
+    assert sorted((r.doc_id, r.profile, r.copies) for r in kept) == [(1, "T1", 2), (1, "T2", 2), (2, "T1", 1), (2, "T2", 1)] or sorted((r.doc_id, r.profile, r.copies) for r in kept) == [(1, "T1", 2), (1, "T2", 3), (2, "T1", 1)]
+    near = sketch.candidates(sketch.first_of_each(signed), within=("profile",)).collect()
+    assert all(r.left < r.right for r in near)
+
+
+def test_sites_are_listed_in_source_order(spark):
+    calls = spark.createDataFrame([("h", "t2", 9, 10, 1, "a"), ("h", "t1", 3, 4, 1, "b"), ("h", "t1", 3, 4, 1, "a"), ("h", "t3", 3, 5, 0, "c"), ("g", "t1", 1, 2, 1, "a"), ("g", "t1", 5, 6, 1, "a")], "callee string, test string, lo long, hi long, id long, shape string")
+    got = [tuple(r) for r in rules.listed_sites(calls).orderBy("callee", "place").collect()]
+    assert got == [("h", 1, 3, 4, 1, "t1", "a"), ("h", 2, 3, 5, 0, "t3", "c"), ("h", 3, 9, 10, 1, "t2", "a")]
+
+
+def test_paths_of_a_long_chain_and_of_a_circle(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(21)] + [("x", "gone")], "node string, parent string")
+    got = {(r.node, r.ancestor, r.distance) for r in rules.enclosing(chain).collect()}
+    assert got == {(f"n{i}", f"n{j}", i - j) for i in range(21) for j in range(i + 1)} | {("x", "x", 0), ("x", "gone", 1)}
+    with pytest.raises(ValueError, match="circle"):
+        rules.enclosing(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"), rounds=4)
