@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +15,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; it is not created."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def registered() -> tuple[dict, dict]:
     from . import advice, attributes, clones, cohesion, facts, findings, nested, rules, signal, streams, trees
 

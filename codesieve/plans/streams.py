@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import incremental as I
-from . import read
+from . import folder, read
 
 FILES, FILES_A_BATCH = 6, 2
 
 
-def _folder(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _arriving(spark, d):
     events = read(spark, d, "events")
-    path = _folder(spark, "arriving")
+    path = folder(spark, "arriving")
     events.repartition(FILES, "event_id").write.parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path)
 
 
 def _run(stream, each):
-    query = stream.writeStream.trigger(availableNow=True).foreachBatch(each).option("checkpointLocation", _folder(stream.sparkSession, "stream")).start()
+    query = stream.writeStream.trigger(availableNow=True).foreachBatch(each).option("checkpointLocation", folder(stream.sparkSession, "stream")).start()
     query.awaitTermination()
 
 
 def streamed_rates(spark, d):
     """Counters of a stream whose batches are each committed twice."""
     rows = _arriving(spark, d).select("event_type", F.lit(1).cast("long").alias("n"), F.round(F.col("value") * 10).cast("long").alias("total_ms"))
-    counters = I.Counters(spark, _folder(spark, "counters"), ["event_type"], ["n", "total_ms"])
+    counters = I.Counters(spark, folder(spark, "counters"), ["event_type"], ["n", "total_ms"])
 
     def each(batch, batch_id):
         counters.commit(batch, batch_id)
@@ -46,7 +37,7 @@ def streamed_rates(spark, d):
 
 def streamed_first_seen(spark, d):
     """Users and event types, each once however the events arrive."""
-    path = _folder(spark, "seen")
+    path = folder(spark, "seen")
     rows = _arriving(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "3650 days")
 
     def each(batch, batch_id):
