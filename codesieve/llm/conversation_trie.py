@@ -207,9 +207,9 @@ def nodes(found: DataFrame, bucket: int = BUCKET, most_turns: int = MOST_TURNS)
         below = built.filter("under is not null").groupBy(F.col("under").alias("part")).agg(F.count(F.lit(1)).alias("kids"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
         full = groups.join(below, "part", "left").fillna(0, ["kids", "leaves", "saved"])
         built = built.unionByName(shared.staged(shared.in_arrow(full, _chains, NODES), "nodes"))
-    ends = found.filter("turns = 0").agg(F.max("ends").alias("ends"))
+    ends = found.filter("turns = 0").agg(F.max("ends")).first()[0] or NOTHING
     top = built.filter("under = ''").agg(F.count(F.lit(1)).alias("n_children"), F.greatest(F.coalesce(F.sum("n_leaves"), F.lit(0)), F.lit(1)).cast("long").alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).cast("long").alias("saved_tokens"))
-    root = top.join(ends).select(F.lit(total[0]).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(total[1]).cast("long").alias("n_convs"), "n_children", "n_leaves", "saved_tokens", F.coalesce("ends", F.lit(NOTHING)).alias("ends_sha256"))
+    root = top.select(F.lit(total[0]).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(total[1]).cast("long").alias("n_convs"), "n_children", "n_leaves", "saved_tokens", F.lit(ends).alias("ends_sha256"))
     return built.drop("under").unionByName(root)
 
 
