@@ -66,10 +66,9 @@ def std_fs_sites(sites: DataFrame, excluded_crates: DataFrame, excluded_paths: D
 
 def excluded(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Rows whose ``path`` starts with no prefix (on segment boundaries): each path meets its own prefixes by equality."""
-    p = paths.withColumn("_id", F.monotonically_increasing_id())
-    own = p.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(X.segments(F.col("path"))), F.lit(1))), lambda n: F.array_join(F.slice(X.segments(F.col("path")), F.lit(1), n), "::"))).alias("prefix"))
-    gone = own.join(prefixes.select(F.array_join(X.segments(F.col("prefix")), "::").alias("prefix")), "prefix", "left_semi").select("_id").distinct()
-    return p.join(gone, "_id", "left_anti").drop("_id")
+    own = paths.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(X.segments(F.col("path"))), F.lit(1))), lambda n: F.array_join(F.slice(X.segments(F.col("path")), F.lit(1), n), "::"))).alias("prefix"))
+    gone = own.join(prefixes.select(F.array_join(X.segments(F.col("prefix")), "::").alias("prefix")), "prefix", "left_semi").select("path").distinct()
+    return paths.join(gone, "path", "left_anti").select(*paths.columns)
 
 
 def misordered(attributes: DataFrame, key: str, order: str, is_doc: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
+from codesieve.operators import rules
 from codesieve.plans import signal as plans_signal
 
 
@@ -12,3 +15,18 @@ def test_event_seconds_are_rounded(spark, tmp_path):
     got = plans_signal._smooth(spark, str(tmp_path)).orderBy("entity", "line").collect()
     six = int(at(18, 0, 0, 0).timestamp()) // 21600
     assert [(r.entity, r.line, r.value) for r in got] == [(1, six - 1, 1.0), (1, six, 2.0), (2, six - 3, 1.0), (2, six - 2, 1.0)]
+
+
+def test_excluded_paths_need_no_row_numbers(spark):
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        # rows are dealt again for each use, and uses that read other columns get other partitions
+        p = spark.range(20_000).select("id", F.concat(F.lit("app::m"), (F.col("id") % 7).cast("string"), F.lit("::f")).alias("path"), F.sha2(F.col("id").cast("string"), 512).alias("label")).repartition("label")
+        kept = rules.excluded(p, spark.createDataFrame([("app::m3",)], "prefix string")).select("id", "path").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.id for r in kept) == [i for i in range(20_000) if i % 7 != 3]
