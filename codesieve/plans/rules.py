@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import metrics as M, rules as O
+from ..operators import metrics as M, rules as O, similar_trees as S
 from . import read
 
 
@@ -86,11 +86,8 @@ def branch_phrases(spark, d):
 
 def embedding_cosine(spark, d):
     """Pairs of the same label whose cosine reaches 0.35."""
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    e = e.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    dot = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    found = pairs.select(F.col("a.vec_id").alias("left"), F.col("b.vec_id").alias("right"), (dot / (F.col("a.n") * F.col("b.n"))).alias("cosine")).filter("cosine >= 0.35")
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    found = S.vector_pairs(e, 0.35)
     return found.withColumn("cosine", F.round("cosine", 4))  # compared as it is, rounded to be shown
 
 

@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from codesieve.operators import advice, rules
+from codesieve.operators import advice, rules, similar_trees
 from codesieve.plans import signal as plans_signal
 
 
@@ -81,3 +81,13 @@ def test_swept_profiles_equal_communities(spark):
         assert {tuple(r) for r in advice.advised(told).select("subject", "place", "community", "label").collect()} == rest
         bad = {(r.subject, r.method) for r in got if r.heaviest is not None and r.heaviest != r.community}
         assert bad == {(r.subject, r.node) for r in advice.unstable(advice.edges(v), found).collect()}
+
+
+def test_vector_pairs_meet_in_blocks(spark):
+    draw = random.Random(3)
+    rows = [(i, draw.randrange(3), [draw.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(900, None, [1.0] * 6), (901, 1, None), (902, 1, [1.0, None] * 3), (903, 1, [1.0] * 5)]
+    found = similar_trees.vector_pairs(spark.createDataFrame(rows, "id bigint, label int, v array<double>"), 0.35, block=16)
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = {(a[0], b[0]): sum(x * y for x, y in zip(a[2], b[2])) / (norm(a[2]) * norm(b[2])) for a, b in combinations(rows[:150], 2) if a[1] == b[1]}
+    got = {(r.left, r.right): r.cosine for r in found.collect()}
+    assert got.keys() == {k for k, c in want.items() if c >= 0.35} and all(abs(c - want[k]) < 1e-12 for k, c in got.items())
