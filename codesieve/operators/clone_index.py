@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import staged
 from . import pairs as P, sketch as S
 
 MEMBERS = "doc_id long, content string, config string, digest binary, gone boolean, load int"
@@ -65,8 +66,8 @@ class CloneIndex:
         texts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
         known = self.members().select("doc_id", F.col("content").alias("_c"), F.col("config").alias("_s"))
         same = (F.col("_c") == F.col("content")) & (F.col("_s") == self.config)
-        dirty = texts.join(known, "doc_id", "left").filter(~F.coalesce(same, F.lit(False))).select("doc_id", "text", "content").checkpoint()
-        signed = S.signed_sets(dirty, self.k, self.window, (self.profile,)).checkpoint()
+        dirty = texts.join(known, "doc_id", "left").filter(~F.coalesce(same, F.lit(False))).select("doc_id", "text", "content").transform(staged)
+        signed = S.signed_sets(dirty, self.k, self.window, (self.profile,)).transform(staged)
         changed = dirty.select("doc_id", "content").join(signed.select("doc_id", "digest"), "doc_id", "left").select("doc_id", "content", F.lit(self.config).alias("config"), "digest", F.lit(False).alias("gone"), F.lit(number).alias("load"))
         if complete:
             gone = self.members().join(texts.select("doc_id"), "doc_id", "left_anti").select("doc_id", "content", "config", "digest", F.lit(True).alias("gone"), F.lit(number).alias("load"))
@@ -74,10 +75,10 @@ class CloneIndex:
         changed.write.parquet(f"{to}/members")
 
         old = self._read("sets", SETS)
-        fresh = signed.join(old.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.min_by(F.struct("hashes", "lanes"), "doc_id").alias("x")).select("digest", "x.hashes", "x.lanes").checkpoint()
+        fresh = signed.join(old.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.min_by(F.struct("hashes", "lanes"), "doc_id").alias("x")).select("digest", "x.hashes", "x.lanes").transform(staged)
         fresh.select("digest", "hashes").write.parquet(f"{to}/sets")
         cut = S.bands(fresh, self.n_bands, self.rows, "digest").select("band", F.md5(F.array_join(F.transform("band_key", lambda x: x.cast("string")), ",")).alias("bucket"), "digest")
-        bands = cut.withColumn("shard", F.shiftright(F.conv(F.substring("bucket", 1, 4), 16, 10).cast("int"), 16 - self.bits)).checkpoint()
+        bands = cut.withColumn("shard", F.shiftright(F.conv(F.substring("bucket", 1, 4), 16, 10).cast("int"), 16 - self.bits)).transform(staged)
         bands.repartitionByRange("shard", "band", "bucket").sortWithinPartitions("shard", "band", "bucket").write.parquet(f"{to}/bands")
         shards = [r.shard for r in bands.select("shard").distinct().limit(MOST_LISTED + 1).collect()]
         theirs = self._read("bands", BANDS, shards if len(shards) <= MOST_LISTED else None).select("band", "bucket", "shard", "digest").unionByName(bands.select("band", "bucket", "shard", "digest"))
