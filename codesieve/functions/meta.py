@@ -1,6 +1,6 @@
 """Attribute texts as column expressions: meta lists, cfg predicates, what a module begins with.
 
-Scanners are folds over characters or tokens whose state is a depth or a stack; attributes nested in attributes
+Scanners are folds over tokens whose state is a depth or a stack; attributes nested in attributes
 are unfolded a level at a time. Null texts give null, empty ones are ``missing``.
 """
 
@@ -13,6 +13,11 @@ WS = r"(?U)\s"
 _TOKEN = r'"(?:[^"\\]|\\.)*"|[\w:]+|[(),]'
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+", "")
 
@@ -29,7 +34,7 @@ def _behind(text: Column) -> Column:
 
 def entries(content: Column) -> Column:
     """The parts of a list between commas outside of parentheses; a stray closing one counts for nothing."""
-    chars = F.regexp_extract_all(content, F.lit(r"(?s)."), 0)
+    chars = F.regexp_extract_all(content, F.lit(r"[^(),]+|[(),]"), 0)
     state = lambda depth, cur, done: F.struct(depth.cast("int").alias("depth"), cur.alias("cur"), done.alias("done"))
 
     def step(s: Column, c: Column) -> Column:
@@ -42,13 +47,11 @@ def entries(content: Column) -> Column:
 
 def arguments(tail: Column) -> Column:
     """Entries of ``( .. )`` up to the last closing parenthesis; null where ``tail`` isn't of that form."""
-    content = F.regexp_extract(trimmed(tail), r"(?s)^\((.*)\)", 1)
-    return F.when(trimmed(tail).rlike(r"(?s)^\(.*\)"), entries(content))
+    return _let(trimmed(tail), lambda t: F.when(t.rlike(r"(?s)^\(.*\)"), entries(F.regexp_extract(t, r"(?s)^\((.*)\)", 1))))
 
 
 def balanced_arguments(tail: Column) -> Column:
     """Entries of ``( .. )`` up to the parenthesis that closes the first one; null where there is none."""
-    chars = F.regexp_extract_all(trimmed(tail), F.lit(r"(?s)."), 0)
     state = lambda depth, cur, closed: F.struct(depth.cast("int").alias("depth"), cur.alias("cur"), closed.alias("closed"))
 
     def step(s: Column, c: Column) -> Column:
@@ -57,8 +60,11 @@ def balanced_arguments(tail: Column) -> Column:
         ends = open_ & (depth == 0)
         return F.when(s["closed"], s).otherwise(state(depth, F.when(open_ & ~ends, F.concat(s["cur"], c)).otherwise(s["cur"]), ends))
 
-    done = F.aggregate(chars, state(F.lit(0), F.lit(""), F.lit(False)), step)
-    return F.when(trimmed(tail).startswith("(") & done["closed"], entries(done["cur"]))
+    def closed(t: Column) -> Column:
+        done = F.aggregate(F.regexp_extract_all(t, F.lit(r"[^()]+|[()]"), 0), state(F.lit(0), F.lit(""), F.lit(False)), step)
+        return F.when(t.startswith("("), _let(done, lambda d: F.when(d["closed"], entries(d["cur"]))))
+
+    return _let(trimmed(tail), closed)
 
 
 def _unfolded(attribute: Column, inner) -> Column:
@@ -71,7 +77,7 @@ def _unfolded(attribute: Column, inner) -> Column:
 
 def _rest(listed: Column) -> Column:
     """Entries behind the first."""
-    return F.when(F.size(listed) > 1, F.slice(listed, F.lit(2), F.size(listed) - 1))
+    return _let(listed, lambda x: F.when(F.size(x) > 1, F.slice(x, F.lit(2), F.size(x) - 1)))
 
 
 def names_doc(attribute: Column) -> Column:
@@ -138,7 +144,6 @@ def is_cfg_test(attribute: Column) -> Column:
     """Whether ``cfg(..)`` asks for test, or ``cfg_attr(..)`` has such a condition and behind it an attribute that does."""
 
     def inner(a: Column) -> Column:
-        listed = arguments(_behind(a))
-        return F.when(cfg_contains_test(F.element_at(listed, 1)), _rest(listed))
+        return _let(arguments(_behind(a)), lambda listed: F.when(cfg_contains_test(F.element_at(listed, 1)), _rest(listed)))
 
     return F.exists(_unfolded(attribute, inner), lambda a: (identifier(a) == "cfg") & F.coalesce(F.exists(arguments(_behind(a)), lambda e: cfg_contains_test(e)), F.lit(False)))

@@ -21,8 +21,13 @@ def _at(values, place):
     return F.element_at(F.array(*(F.lit(v) for v in values)), (place % len(values) + 1).cast("int"))
 
 
+def _spread(spark, d):
+    """Parts dealt to tasks: the table is a small file or few, read by as few tasks, while each text takes a scan. A number of tasks is named, since few bytes would go to one."""
+    return read(spark, d, "part").select("p_partkey", "p_size", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def leading_contents(spark, d):
-    p = read(spark, d, "part")
+    p = _spread(spark, d)
     text = F.concat(_at(SPACES, F.col("p_size")), _at([h for h, _ in HEADS], F.col("p_partkey")), F.lit("\nfn "), F.col("p_name"))
     return p.select("p_partkey", M.leading_content(text).alias("x")).select("p_partkey", "x.*")
 
@@ -37,7 +42,7 @@ def cfg_predicates(spark, d):
     """Whether predicates ask for test, with and without passing negation on, alone and as condition and attribute of a wrapper."""
     a, b = _predicate(0), _predicate(7)
     wrapped = F.concat(F.lit("cfg_attr("), a, F.lit(", allow(x), cfg("), b, F.lit("))"))
-    return read(spark, d, "part").select("p_partkey", M.cfg_contains_test(a).alias("asks"), M.cfg_contains_test(a, propagate=False).alias("asks_afresh"), M.is_cfg_test(F.concat(F.lit("cfg("), a, F.lit(")"))).alias("direct"), M.is_cfg_test(wrapped).alias("wrapped"))
+    return _spread(spark, d).select("p_partkey", M.cfg_contains_test(a).alias("asks"), M.cfg_contains_test(a, propagate=False).alias("asks_afresh"), M.is_cfg_test(F.concat(F.lit("cfg("), a, F.lit(")"))).alias("direct"), M.is_cfg_test(wrapped).alias("wrapped"))
 
 
 QUERIES = {f.__name__: f for f in (leading_contents, cfg_predicates)}
