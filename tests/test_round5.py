@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from codesieve.functions import meta
+from codesieve.operators import nested
 from codesieve.plans import attributes
 
 
@@ -17,3 +18,15 @@ def test_part_texts_are_dealt_to_tasks(spark, tmp_path):
 def test_entries_are_scanned_by_token(spark):
     one = spark.range(1).select(meta.entries(F.lit("a(b, c)" + "x" * 50_000 + ",d")).alias("x"), meta.balanced_arguments(F.lit(" (a(b,c), d) e")).alias("y"), meta.balanced_arguments(F.lit("(a")).alias("z"), meta.arguments(F.lit("x")).alias("w")).first()
     assert (one.x, one.y, one.z, one.w) == (["a(b, c)" + "x" * 50_000, "d"], ["a(b,c)", " d"], None, None)
+
+
+def test_running_rows_move_once(spark):
+    rows = spark.range(400).select((F.col("id") % 3).alias("k"), "id", F.when(F.col("id") % 7 > 2, F.col("id")).alias("v"))
+    found = nested.running(rows, ["k"], ["id"], {"v": "s"})
+    # rows used to move again, to a window by partition and key
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i in range(400):
+        own = [j for j in range(i + 1) if j % 3 == i % 3 and j % 7 > 2]
+        want[i] = sum(own) if own else None
+    assert {r.id: r.s for r in found.collect()} == want
