@@ -43,7 +43,7 @@ def streamed_first_seen(spark, d):
     def each(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    _run(I.first_seen(rows, ["user_id", "event_type"], "ts", "event_id", 1000), each)
+    _run(I.once(rows, ["user_id", "event_type"]), each)
     return spark.read.parquet(path).select("user_id", "event_type")
 
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import meta
 from codesieve.operators import nested
-from codesieve.plans import attributes
+from codesieve.plans import attributes, streams
+from codesieve.streaming import incremental
 
 
 def test_part_texts_are_dealt_to_tasks(spark, tmp_path):
@@ -30,3 +31,12 @@ def test_running_rows_move_once(spark):
         own = [j for j in range(i + 1) if j % 3 == i % 3 and j % 7 > 2]
         want[i] = sum(own) if own else None
     assert {r.id: r.s for r in found.collect()} == want
+
+
+def test_streamed_keys_stay_in_the_jvm(spark, tmp_path, monkeypatch):
+    events = spark.range(5000).select((F.col("id") % 900).alias("user_id"), F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("event_type"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"), F.col("id").alias("event_id"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    # a call for each key of a batch
+    monkeypatch.setattr(incremental, "first_seen", None)
+    found = streams.streamed_first_seen(spark, str(tmp_path))
+    assert found.count() == found.distinct().count() == events.select("user_id", "event_type").distinct().count()
