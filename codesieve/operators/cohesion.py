@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import staged
 
 
 def wmc(methods: DataFrame, key: str = "type") -> DataFrame:
@@ -57,8 +62,8 @@ def cohesion_edges(methods: DataFrame, key: str = "type") -> DataFrame:
     return shared.unionByName(called).filter("a <> b").distinct()
 
 
-def lcom4(methods: DataFrame, key: str = "type", rounds: int | None = None) -> DataFrame:
-    """Connected components of each type's methods: least labels spread along edges, with shortcuts, until nothing changes; an error if ``rounds`` end before."""
+def _spread_labels(methods: DataFrame, key: str, rounds: int | None) -> DataFrame:
+    """Least labels spread along edges, with shortcuts, until nothing changes; an error if ``rounds`` end before."""
     edges = cohesion_edges(methods, key)
     both = edges.unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     labels = methods.select(key, F.col("method").alias("a"), F.col("method").alias("label")).distinct()
@@ -71,7 +76,7 @@ def lcom4(methods: DataFrame, key: str = "type", rounds: int | None = None) -> D
         near = both.join(labels.select(key, F.col("a").alias("b"), "label"), [key, "b"]).groupBy(key, "a").agg(F.min("label").alias("m"))
         labels = labels.join(near, [key, "a"], "left").select(key, "a", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = labels.select(key, F.col("a").alias("label"), F.col("label").alias("up"))
-        labels = labels.join(jump, [key, "label"], "left").select(key, "a", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
+        labels = labels.join(jump, [key, "label"], "left").select(key, "a", F.least("label", F.coalesce("up", "label")).alias("label")).transform(staged)
         now = labels.agg(F.sum(F.xxhash64(key, "a", "label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
@@ -80,6 +85,69 @@ def lcom4(methods: DataFrame, key: str = "type", rounds: int | None = None) -> D
     return labels.groupBy(key).agg(F.countDistinct("label").alias("lcom4"))
 
 
+def _components(group: dict, callers: set) -> int:
+    """Components of methods (method: its (name, fields)): a field links its methods, a called name its callers (method, name) and its bearers."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    called = {n for _, n in callers}
+    for m, facts in group.items():
+        for name, fields in facts:
+            for f in fields or ():
+                if f is not None:
+                    up[root((0, f))] = root((2, m))
+            if name in called:
+                up[root((1, name))] = root((2, m))
+    borne = {name for facts in group.values() for name, _ in facts}
+    for m, n in callers:
+        if n in borne:
+            up[root((1, n))] = root((2, m))
+    return len({root((2, m)) for m in group})
+
+
+def _counted(key: str, schema: pa.Schema):
+    """Components of types whose rows stand together; one type is held at a time."""
+
+    def run(batches):
+        begun, now, group, callers = False, None, {}, set()
+        for b in batches:
+            out = []
+            for t, m, name, fields, calls in zip(*(b.column(c).to_pylist() for c in (key, "method", "name", "fields", "calls"))):
+                if not begun or t != now:
+                    if begun:
+                        out.append((now, _components(group, callers)))
+                    begun, now, group, callers = True, t, {}, set()
+                if m is not None:
+                    # a null key meets nothing
+                    group.setdefault(m, []).append((name, fields) if t is not None else (None, ()))
+                    callers.update((m, c) for c in (calls if t is not None else None) or () if c is not None)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], schema.types[0]), pa.array([o[1] for o in out], pa.int64())], schema=schema)
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([now], schema.types[0]), pa.array([_components(group, callers)], pa.int64())], schema=schema)
+
+    return run
+
+
+def lcom4(methods: DataFrame, key: str = "type", rounds: int | None = None, most: int = 100_000) -> DataFrame:
+    """Connected components of each type's methods.
+
+    Types of at most ``most`` methods, fields and calls are counted in the task that their rows meet in; larger ones, and all where ``rounds``
+    is given, by labels that spread through joins, with an error if the rounds end before nothing changes.
+    """
+    if rounds is not None:
+        return _spread_labels(methods, key, rounds)
+    m = methods.select(key, "method", "name", "fields", "calls").transform(staged)
+    size = 1 + F.greatest(F.size("fields"), F.lit(0)) + F.greatest(F.size("calls"), F.lit(0))
+    large = m.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(size).alias("n")).filter(F.col("n") > most).select(key).transform(staged)
+    schema = StructType([m.schema[key], StructField("lcom4", LongType())])
+    found = m.join(large, key, "left_anti").repartition(key).sortWithinPartitions(key).mapInArrow(_counted(key, to_arrow_schema(schema)), schema)
+    return found if large.isEmpty() else found.unionByName(_spread_labels(m.join(large, key, "left_semi"), key, None))
+
+
 def cognitive(events: DataFrame, key: str = "method") -> DataFrame:
     """Score of an event log (key, seq, kind, from_expansion); a pop undoes its own push, an unbalanced log is an error.
 
