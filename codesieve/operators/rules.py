@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import meta, text as X
+from ..session import staged
 from .nested import running
 
+#: Rows that a broadcast may have, and nodes below an ancestor that meets them by a join.
+MOST_BROADCAST, MOST_BELOW = 100_000, 100_000
+
 #: Name of the constant that marks a generated test module, and attribute paths; fixed values.
 HARNESS_DESCRIPTOR = "RSTEST_HARNESS_DESCRIPTOR"
 TEST_MARKERS = ("rstest", "rstest::rstest")
@@ -21,32 +25,45 @@ def enclosing(nodes: DataFrame, node: str = "node", parent: str = "parent", roun
     Only the frontier doubles: the ancestors at exactly 2^k steps lead to what was found from there. A round joins one row a node with
     the rows of an ancestor; after ``rounds`` of them, 2^32 steps with the default, the parents run in a circle, which is an error.
     """
-    step = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor is not null").distinct().checkpoint()
-    reach = nodes.select(F.col(node).alias("node")).distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
-    reach, turn = reach.unionByName(step.select(F.col("ancestor").alias("node")).join(nodes.select(F.col(node).alias("node")), "node", "left_anti").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))), 0
+    own = nodes.select(F.col(node).alias("node")).distinct()
+    step = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor is not null").distinct().transform(staged)
+    absent = step.select(F.col("ancestor").alias("node")).distinct().join(own, "node", "left_anti").transform(staged)
+    reach = own.unionByName(absent).select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance")).transform(staged)
+    turn = 0
     while not step.isEmpty():
         if turn == rounds:
             raise ValueError("parents run in a circle")
         far = step.withColumnRenamed("ancestor", "middle")
-        longer = far.join(reach.withColumnRenamed("node", "middle"), "middle").select("node", "ancestor", (F.col("distance") + (1 << turn)).alias("distance"))
-        reach = reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).checkpoint()
-        step = far.join(step.withColumnRenamed("node", "middle"), "middle").select("node", "ancestor").distinct().checkpoint()
+        middles = far.select("middle").distinct().transform(staged)
+        longer = far.join(_met(reach, middles), "middle").select("node", "ancestor", (F.col("distance") + (1 << turn)).alias("distance"))
+        reach = reach.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")).transform(staged)
+        step = far.join(_met(step, middles), "middle").select("node", "ancestor").distinct().transform(staged)
         turn += 1
-    own = nodes.select(F.col(node).alias("node")).distinct()
-    return reach.join(own, "node", "left_semi").withColumn("distance", F.col("distance").cast("int"))
+    return reach.join(absent, "node", "left_anti").withColumn("distance", F.col("distance").cast("int"))
+
+
+def _met(rows: DataFrame, middles: DataFrame) -> DataFrame:
+    """``rows`` by ``middle``, of the asked-for middles alone. Few are broadcast: what lies below a root then stays where it is, not in the root's task."""
+    found = rows.withColumnRenamed("node", "middle").join(middles, "middle", "left_semi").transform(staged)
+    return F.broadcast(found) if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else found
 
 
 def context(sites: DataFrame, ancestors: DataFrame, items: DataFrame) -> DataFrame:
     """Sites with ``in_test`` and ``in_main``: whether an enclosing item has a test attribute, or is ``main``. ``items``: node, name, attributes (array of paths)."""
-    flags = items.select(F.col("node").alias("ancestor"), F.exists("attributes", lambda a: X.is_test_attribute(a)).alias("t"), (F.col("name") == "main").alias("m"))
-    found = ancestors.join(flags, "ancestor").groupBy("node").agg(F.bool_or("t").alias("in_test"), F.bool_or("m").alias("in_main"))
+    flags = items.select(F.col("node").alias("ancestor"), F.exists("attributes", lambda a: X.is_test_attribute(a)).alias("t"), (F.col("name") == "main").alias("m")).filter("t or m")
+    # ancestors of very many nodes meet them by a broadcast; there is at most one of them for each MOST_BELOW rows
+    hot = ancestors.filter("distance > 0").groupBy("ancestor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_BELOW).select("ancestor").transform(staged)
+    top = ancestors.join(F.broadcast(flags.join(F.broadcast(hot), "ancestor", "left_semi")), "ancestor")
+    rest = ancestors.join(F.broadcast(hot), "ancestor", "left_anti").join(flags, "ancestor")
+    found = top.unionByName(rest).groupBy("node").agg(F.bool_or("t").alias("in_test"), F.bool_or("m").alias("in_main"))
     return sites.join(found, "node", "left").fillna(False, ["in_test", "in_main"])
 
 
 def closure_panics(ancestors: DataFrame, calls: DataFrame) -> DataFrame:
     """(node, panics, interpolated_only) of closures from the calls below them. ``calls``: node, path, interpolated."""
-    p = calls.filter(X.path_is(F.col("path"), *X.PANIC_PATHS))
-    return ancestors.join(p, "node").groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.bool_and("interpolated").alias("interpolated_only")).select("node", (F.col("n") > 0).alias("panics"), "interpolated_only")
+    # a node's calls are one row before they meet its ancestors
+    p = calls.filter(X.path_is(F.col("path"), *X.PANIC_PATHS)).groupBy("node").agg(F.bool_and("interpolated").alias("interpolated"))
+    return ancestors.join(p, "node").groupBy(F.col("ancestor").alias("node")).agg(F.bool_and("interpolated").alias("interpolated_only")).select("node", F.lit(True).alias("panics"), "interpolated_only")
 
 
 def panic_is_flagged(panics: Column, doctest: Column, in_test: Column, interpolated_only: Column, in_main: Column, allow_in_main: bool = False) -> Column:

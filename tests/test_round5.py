@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from codesieve.functions import meta
-from codesieve.operators import cohesion, nested
+from codesieve.operators import cohesion, nested, rules
 from codesieve.plans import attributes, streams
 from codesieve.streaming import incremental
 
@@ -52,3 +52,19 @@ def test_small_types_need_no_rounds(spark, monkeypatch):
     assert {r.type: r.lcom4 for r in cohesion.lcom4(df, most=20).collect()} == want and len(set(want.values())) > 2
     monkeypatch.setattr(cohesion, "cohesion_edges", None)
     assert {r.type: r.lcom4 for r in cohesion.lcom4(df).collect()} == want
+
+
+def test_what_lies_below_a_root_stays_where_it_is(spark, monkeypatch):
+    nodes = spark.createDataFrame([("r", None)] + [(f"c{i}", "r") for i in range(5)] + [(f"o{i}", f"c{i % 5}") for i in range(40)] + [("x", "gone")], "node string, parent string")
+    met = rules._met(nodes.select("node", "parent"), spark.createDataFrame([("r",), ("c1",)], "middle string"))
+    assert met.count() == 2
+    items = spark.createDataFrame([("r", "main", ["allow"]), ("c1", "f", ["test"])], "node string, name string, attributes array<string>")
+    want = {(f"o{i}", f"c{i % 5}", 1) for i in range(40)} | {(f"o{i}", "r", 2) for i in range(40)} | {(f"c{i}", "r", 1) for i in range(5)} | {("x", "gone", 1)} | {(r.node, r.node, 0) for r in nodes.collect()}
+    for most in (100_000, 0):
+        monkeypatch.setattr(rules, "MOST_BROADCAST", most)
+        monkeypatch.setattr(rules, "MOST_BELOW", most)
+        up = rules.enclosing(nodes)
+        assert {tuple(r) for r in up.collect()} == want
+        told = rules.context(nodes.select("node"), up, items).collect()
+        assert {r.node for r in told if r.in_main} == {r.node for r in nodes.collect()} - {"x"}
+        assert {r.node for r in told if r.in_test} == {"c1"} | {f"o{i}" for i in range(1, 40, 5)}
