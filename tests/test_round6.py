@@ -7,7 +7,7 @@ from itertools import combinations
 import duckdb
 from pyspark.sql import functions as F
 
-from codesieve.operators import advice
+from codesieve.operators import advice, similar_trees
 from codesieve.plans import advice as plans_advice, clones, facts, signal as plans_signal
 
 
@@ -72,3 +72,42 @@ def test_accepted_pairs_tell_every_texts_links(spark, tmp_path):
         assert {(1, 3), (1, 4), (3, 7), (4, 6), (6, 7)} <= want and ((1, 5) in want) == (profile == "T2")
     found = clones.run0(spark, str(tmp_path))
     assert found.count() == len(got) and found.select("fragment").distinct().count() == len(got)
+
+
+def test_distances_side_by_side_and_in_many_tasks(spark):
+    draw = random.Random(11)
+
+    def tree(n):
+        rows, stack = [], []
+        for i in range(n):
+            left = i
+            for _ in range(draw.randrange(min(3, len(stack)) + 1) if i < n - 1 else len(stack)):
+                left = stack.pop()
+            rows.append((draw.choice("abc"), left))
+            stack.append(left)
+        return rows
+
+    def plain(a, b, memo):
+        if not a or not b:
+            return sum(1 + plain(t[1], (), memo) for t in a + b)
+        if (a, b) not in memo:
+            x, y = a[-1], b[-1]
+            memo[a, b] = min(plain(a[:-1] + x[1], b, memo) + 1, plain(a, b[:-1] + y[1], memo) + 1, plain(a[:-1], b[:-1], memo) + plain(x[1], y[1], memo) + (x[0] != y[0]))
+        return memo[a, b]
+
+    def nested(rows):
+        stack = []
+        for i, (label, left) in enumerate(rows):
+            below = [x for x in stack if x[0] >= left]
+            stack = [x for x in stack if x[0] < left] + [(left, (label, tuple(t for _, t in below)))]
+        return tuple(t for _, t in stack)
+
+    forest = [tree(n) for n in (9, 1, 6, 8, 2, 7, 1, 9)] + [[]]
+    for a in forest:
+        assert similar_trees.distances(a, forest) == [plain(nested(a), nested(b), {}) for b in forest] == [similar_trees.distance(a, b) for b in forest]
+    nodes = spark.range(40).select((F.col("id") / 2).cast("long").alias("tree"), (F.col("id") % 2).alias("pre"), F.lit(1).cast("long").alias("last"), (F.col("id") % 2).alias("depth"), F.col("id").cast("int").alias("kind"), F.lit(None).cast("string").alias("leaf"))
+    pairs = spark.range(20).select(F.col("id").alias("a")).crossJoin(spark.range(20).select(F.col("id").alias("b"))).filter("a < b")
+    found = similar_trees.refined(pairs, nodes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan  # pairs used to be in as few tasks as their bytes ask for
+    assert {(r.distance, r.status) for r in found.collect()} == {(2, "rejected")} and found.count() == 190
