@@ -111,3 +111,13 @@ def test_distances_side_by_side_and_in_many_tasks(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan  # pairs used to be in as few tasks as their bytes ask for
     assert {(r.distance, r.status) for r in found.collect()} == {(2, "rejected")} and found.count() == 190
+
+
+def test_pairs_of_histograms_meet_no_other_table(spark):
+    rows = [(t, k, 1) for t in range(30) for k in range(3 + t % 3) for _ in range(2)]
+    vectors, members = similar_trees.histograms(spark.createDataFrame(rows, "tree long, kind int, depth int"))
+    found = similar_trees.cosine_pairs(vectors, 1, 2, block=2)
+    # counts of trees were joined with the pairs, and sent through the driver for it
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    n = {r.vector: r["count"] for r in members.groupBy("vector").count().collect()}
+    assert sorted((r.a, r.b, r.n_a, r.n_b) for r in found.collect()) == [(a, b, n[a], n[b]) for a, b in combinations(range(3), 2)]
